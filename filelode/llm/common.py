@@ -44,7 +44,7 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size_col: str, t
     Keys with more than ``total * HOT_SHARE`` rows number fewer than ``1 / HOT_SHARE`` whatever the data, so exactly
     those are broadcast and their rows never shuffle; every other key joins by an ordinary shuffle.
     """
-    least = max(1000, int(total * HOT_SHARE))
+    least = max(1, int(total * HOT_SHARE))
     hot = F.broadcast(groups.where(F.col(size_col) > least))
     few = groups.where(F.col(size_col) <= least)
     return (

@@ -10,6 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from filelode.llm.common import checkpoint, table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelode.llm.simhash import hex_fingerprint, simhash_dedup
+
+    found = simhash_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filelode.llm.exact_dedup import DigestIndex, exact_dedup
 
@@ -31,7 +38,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_exact_dedup": op3_exact_dedup}
+    return {"op1_simhash": op1_simhash, "op3_exact_dedup": op3_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
