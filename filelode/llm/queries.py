@@ -27,6 +27,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         index.drop()
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelode.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -38,7 +44,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_exact_dedup": op3_exact_dedup}
+    return {"op1_simhash": op1_simhash, "op3_exact_dedup": op3_exact_dedup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
