@@ -39,6 +39,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         index.drop()
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelode.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filelode.llm.packing import pack_documents
 
@@ -68,7 +74,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op5_best_fit_packing": op5_best_fit_packing, "op7_embedding_dedup": op7_embedding_dedup, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_best_fit_packing": op5_best_fit_packing, "op7_embedding_dedup": op7_embedding_dedup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

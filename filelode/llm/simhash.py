@@ -114,18 +114,17 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) -> Dat
     """
     if max_bits > 3:
         raise ValueError("two segments differ by at most one bit only up to three differing bits")
-    rows, keys, found = nodes.select("node", "fp", F.lit(0).alias("base")), [], None
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # 64 keys a row: not for the few tasks that hold the rows
+    rows, keys, found = nodes.repartition(spread, "node").select("node", "fp", F.lit(0).alias("base")), [], None
     for level in range(len(WIDTHS)):
         rows, keys = _variants(rows, level), [*keys, f"k{level}"]
-        ends = F.struct("fp", "node")
-        sizes = checkpoint(
-            rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(ends).alias("a"), F.max(ends).alias("b")).where("n > 1")
-        )
-        near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
-        pairs = sizes.where((F.col("n") == 2) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+        ends = [F.min("fp").alias("a"), F.max("fp").alias("b"), F.min_by("node", "fp").alias("u"), F.max_by("node", "fp").alias("v")]
+        sizes = checkpoint(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1"))
+        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+        pairs = sizes.where((F.col("n") == 2) & near).select("u", "v")
         last = level == len(WIDTHS) - 1
         small = sizes.where(F.col("n") > 2) if last else sizes.where((F.col("n") > 2) & (F.col("n") <= group))
-        groups = rows.join(small.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.collect_list(ends).alias("members"))
+        groups = rows.join(small.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.collect_list(F.struct("fp", "node")).alias("members"))
         level_links = pairs.unionByName(_stars(groups, max_bits)).distinct()
         found = level_links if found is None else found.unionByName(level_links)
         large = sizes.where(F.col("n") > group).select(*keys)
