@@ -51,6 +51,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelode.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filelode.llm.embedding_dedup import embedding_dedup
 
@@ -74,7 +80,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_best_fit_packing": op5_best_fit_packing, "op7_embedding_dedup": op7_embedding_dedup, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_best_fit_packing": op5_best_fit_packing, "op6_html_extraction": op6_html_extraction, "op7_embedding_dedup": op7_embedding_dedup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
