@@ -24,8 +24,12 @@ import regex
 NO_PAIR = np.int64(1) << 40
 #: Pieces of at most this many bytes are merged in batches.
 SHORT = 64
+#: Short pieces merged at a time: their trees fit a core's cache.
+BATCH = 4096
 #: Pieces, and chunks between spaces, remembered by a worker.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: Signs that are a piece of their own when one ends a word.
+SIGNS = frozenset('!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')
 #: Control characters on which Python and the split patterns disagree whether they are white space.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Split of byte-level files that name no pattern of their own, as published with that vocabulary.
@@ -231,30 +235,90 @@ class Bpe:
                 out += self.pattern.findall(self.normalized(part))
         return out
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode distinct pieces into ``known``: little-endian 32-bit ids."""
-        short: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in pieces:
-            if piece.startswith("￿￿") and piece[2:] in self.added:
-                self.known[piece] = np.array([self.added[piece[2:]]], "<u4").tobytes()
-                continue
+    def merged(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, little-endian, 32 bits each."""
+        out: list[bytes] = [b""] * len(pieces)
+        short: dict[int, tuple[list[int], list[bytes]]] = {}
+        for k, piece in enumerate(pieces):
             data = piece.encode("utf-8", "replace")
-            if len(data) <= SHORT:
-                short.setdefault(1 << (len(data) - 1).bit_length(), []).append((piece, data))
-            else:
+            if len(data) > SHORT:
                 symbols = [*self.first[np.frombuffer(data[:-1], np.uint8)].tolist(), int(self.last[data[-1]])]
-                self.known[piece] = np.array(merge_one(symbols, self.pairs), "<u4").tobytes()
-        for width, group in short.items():
-            for at in range(0, len(group), 20_000):
-                part = group[at : at + 20_000]
-                lengths = np.array([len(d) for _, d in part])
-                data = np.frombuffer(b"".join(d.ljust(width, b"\0") for _, d in part), np.uint8).reshape(-1, width)
+                out[k] = np.array(merge_one(symbols, self.pairs), "<u4").tobytes()
+            else:
+                places, words = short.setdefault((len(data) - 1).bit_length(), ([], []))
+                places.append(k)
+                words.append(data)
+        for power, (places, words) in short.items():
+            width = 1 << power
+            for at in range(0, len(words), BATCH):
+                part = words[at : at + BATCH]
+                lengths = np.fromiter(map(len, part), np.int64, len(part))
+                data = np.frombuffer(b"".join([d.ljust(width, b"\0") for d in part]), np.uint8).reshape(-1, width)
                 symbols = self.first[data]
                 ends = np.arange(len(part)), lengths - 1
                 symbols[ends] = self.last[data[ends]]
                 ids, counts = merge_many(symbols, lengths, self.table)
-                data, ends = ids.astype("<u4").tobytes(), np.cumsum(4 * counts).tolist()
-                self.known.update((p, data[a:b]) for (p, _), a, b in zip(part, [0, *ends], ends))
+                data, start = ids.astype("<u4").tobytes(), 0
+                for k, end in zip(places[at : at + BATCH], np.cumsum(4 * counts).tolist()):
+                    out[k] = data[start:end]
+                    start = end
+        return out
+
+    def merge_words(self, words: list[str], space: str) -> None:
+        """Remember chunks that are words, of letters alone: cut from one buffer, by width, without a loop over them."""
+        buffer = np.frombuffer("\n".join([*words, ""]).encode("utf-8"), np.uint8)
+        ends = np.flatnonzero(buffer == 10)
+        starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+        lengths = ends - starts + len(space)
+        out = self.chunks
+        for power in range(SHORT.bit_length()):
+            width = 1 << power
+            places = np.flatnonzero((lengths <= width) & (lengths > width // 2))
+            for at in range(0, len(places), BATCH):
+                part = places[at : at + BATCH]
+                sizes, place = lengths[part], np.arange(width)
+                data = buffer[np.minimum(starts[part, None] + place[None, :] - len(space), len(buffer) - 1)]
+                if space:
+                    data[:, 0] = 32
+                symbols = self.first[data]
+                last = np.arange(len(part)), sizes - 1
+                symbols[last] = self.last[data[last]]
+                ids, counts = merge_many(symbols, sizes, self.table)
+                data, start = ids.astype("<u4").tobytes(), 0
+                for k, end in zip(part.tolist(), np.cumsum(4 * counts).tolist()):
+                    out[words[k]] = data[start:end]
+                    start = end
+        long = [words[k] for k in np.flatnonzero(lengths > SHORT)]
+        out.update(zip(long, self.merged([space + w for w in long])))
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Remember pieces that aren't known."""
+        new = [p for p in pieces if p not in self.known]
+        special = [p for p in new if p.startswith("￿￿") and p[2:] in self.added]
+        for piece in special:
+            self.known[piece] = np.array([self.added[piece[2:]]], "<u4").tobytes()
+        plain = [p for p in new if p not in self.known]
+        self.known.update(zip(plain, self.merged(plain)))
+
+    def learn_chunks(self, missing: Iterable[str]) -> None:
+        """Remember chunks. Most are a word, or a word and one sign; the pattern is asked about the others alone."""
+        space, words, signed, odd = "" if self.spaces_vanish else " ", set(), [], {}
+        for chunk in missing:
+            if chunk.isalpha():
+                words.add(chunk)
+            elif chunk[-1:] in SIGNS and chunk[:-1].isalpha():
+                signed.append(chunk)
+                if chunk[:-1] not in self.chunks:
+                    words.add(chunk[:-1])
+            else:
+                odd[chunk] = self.pattern.findall(space + chunk)
+        self.learn({*SIGNS, *(p for found in odd.values() for p in found)})
+        of = self.known.__getitem__
+        self.merge_words(list(words), space)
+        for chunk in signed:
+            self.chunks[chunk] = self.chunks[chunk[:-1]] + of(chunk[-1])
+        for chunk, found in odd.items():
+            self.chunks[chunk] = b"".join(map(of, found))
 
     def split(self, text: str) -> list[str] | None:
         """The text cut at single spaces into chunks that are encoded each for itself, or None where cuts could matter.
@@ -269,47 +333,35 @@ class Bpe:
             return self.normalized(text).split()
         return None if "  " in text else self.normalized(text).split(" ")
 
-    def encode_batch(self, texts: Iterable[str | None], at_once: int = 1 << 20) -> Iterator[np.ndarray]:
+    def encode_batch(self, texts: Iterable[str | None], at_once: int = 1 << 22) -> Iterator[np.ndarray]:
         """The ids of each text; about ``at_once`` characters are held in pieces at a time."""
-        held, space, waiting = 0, "" if self.spaces_vanish else " ", []
-        new: dict[str, list[str]] = {}
+        held, waiting = 0, []
 
         def flush() -> Iterator[np.ndarray]:
-            pieces = {p for found in new.values() for p in found}
-            for whole, _, _ in waiting:
-                pieces.update(whole)
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self.learn([p for p in pieces if p not in self.known])
-            of = self.known.__getitem__
-            fresh = {chunk: b"".join(map(of, found)) for chunk, found in new.items()}
-            for whole, ids, gaps in waiting:
-                for i, chunk in gaps:
-                    ids[i] = fresh[chunk]
-                yield np.frombuffer(b"".join(itertools.chain(map(of, whole), ids)), "<u4")
-            if len(self.chunks) > REMEMBERED:
-                self.chunks.clear()
-            self.chunks.update(fresh)
+            for cache in (self.known, self.chunks):
+                if len(cache) > REMEMBERED:
+                    cache.clear()
+            self.learn({p for pieces, _ in waiting for p in pieces})
+            chunks: set[str] = set()
+            for _, parts in waiting:
+                chunks.update(parts)
+            self.learn_chunks(chunks.difference(self.chunks))
+            for pieces, parts in waiting:
+                yield np.frombuffer(b"".join([*map(self.known.__getitem__, pieces), *map(self.chunks.__getitem__, parts)]), "<u4")
 
         for text in texts:
             text = text or ""
             parts = self.split(text)
             if parts is None:
-                waiting.append((self.pieces(text), [], []))
+                waiting.append((self.pieces(text), []))
+            elif self.spaces_vanish:
+                waiting.append(([], parts))
             else:
-                start = self.pattern.findall(parts.pop(0)) if space else []
-                ids, gaps, i = list(map(self.chunks.get, parts)), [], -1
-                for _ in range(ids.count(None)):
-                    i = ids.index(None, i + 1)
-                    gaps.append((i, parts[i]))
-                    if parts[i] not in new:
-                        new[parts[i]] = self.pattern.findall(space + parts[i])
-                waiting.append((start, ids, gaps))
+                waiting.append((self.pattern.findall(parts.pop(0)), parts))
             held += len(text)
             if held > at_once:
                 yield from flush()
-                waiting, held = [], 0
-                new = {}
+                held, waiting = 0, []
         yield from flush()
 
     def encode(self, text: str | None) -> np.ndarray:
