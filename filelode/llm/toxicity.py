@@ -12,12 +12,14 @@ labels of an id the highest counts; without labels of both kinds every score is
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +33,15 @@ THRESHOLD = 0.3
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the training: labelled rows (expected), terms kept, factors, passes."""
+    """Bounds of the training: labelled rows (expected), terms kept and their G2 at least (chance gives 24 once in a
+    million terms, and long texts have many), factors, passes and steps at least."""
 
     rows: int = 16_000
     terms: int = 1024
+    least_g2: float = 24.0
     factors: int = 8
     epochs: int = 40
+    steps: int = 1500
 
 
 class _Terms(dict):
@@ -70,6 +75,21 @@ class FactorizationMachine:
         return self.bias + x @ self.weights + 0.5 * ((sums**2).sum(axis=1) - x @ (self.factors**2).sum(axis=1))
 
 
+class Scorer:
+    """A model with the terms that a worker has met."""
+
+    def __init__(self, model: FactorizationMachine):
+        self.model, self.known = model, _Terms()
+        self.place = {int(t): i for i, t in enumerate(model.terms)}
+
+    def score(self, text: str | None) -> float:
+        at = sorted(self.place[t] for t in terms_of(text, self.known) if t in self.place)
+        part = self.model.factors[at].astype(np.float64)
+        sums = part.sum(axis=0)
+        logit = self.model.bias + float(self.model.weights[at].sum()) + 0.5 * float((sums**2).sum() - (part**2).sum())
+        return 1 / (1 + math.exp(-min(max(logit, -30.0), 30.0)))
+
+
 def fit(x: np.ndarray, y: np.ndarray, terms: np.ndarray, limits: Limits, seed: int = 7) -> FactorizationMachine:
     """Logistic loss, Adam, weight decay; the same rows give the same model."""
     rate = float(y.mean()) if len(y) else 0.0
@@ -83,7 +103,7 @@ def fit(x: np.ndarray, y: np.ndarray, terms: np.ndarray, limits: Limits, seed: i
     params = [np.array([model.bias], np.float32), model.weights, model.factors]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
-    for epoch in range(limits.epochs):
+    for _ in range(max(limits.epochs, -(-limits.steps // -(-len(y) // 256)))):
         order = rng.permutation(len(y))
         for at in range(0, len(y), 256):
             rows = order[at : at + 256]
@@ -141,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), id_col:
     n0, n1 = n - n1, int(n1)
     a, t = F.col("a"), F.col("t")
     g2 = 2 * (cell(a, t * (n1 / max(n, 1))) + cell(t - a, t * (n0 / max(n, 1))) + cell(n1 - a, (n - t) * (n1 / max(n, 1))) + cell(n0 - (t - a), (n - t) * (n0 / max(n, 1))))
-    best = by_term.where((t >= 3) & (t < n)).orderBy(F.desc(g2), "term").limit(limits.terms).select("term") if n1 and n0 else by_term.limit(0).select("term")
+    best = by_term.where((t >= 3) & (t < n) & (g2 >= limits.least_g2)).orderBy(F.desc(g2), "term").limit(limits.terms).select("term") if n1 and n0 else by_term.limit(0).select("term")
     terms = np.sort(np.array([r[0] for r in best.collect()], dtype=np.int32))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,24 +182,29 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, _Terms()
-        place = {int(t): i for i, t in enumerate(model.terms)}
+        scorer = Scorer(shared.value)
         for batch in batches:
-            scores = np.empty(batch.num_rows)
-            for i, text in enumerate(batch.column(1)):
-                at = [place[t] for t in terms_of(text.as_py(), known) if t in place]
-                part = model.factors[at].astype(np.float64)
-                sums = part.sum(axis=0)
-                logit = model.bias + float(model.weights[at].sum()) + 0.5 * float((sums**2).sum() - (part**2).sum())
-                scores[i] = 1 / (1 + np.exp(-min(max(logit, -30.0), 30.0)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"]
-            )
+            scores = np.array([scorer.score(t.as_py()) for t in batch.column(1)], np.float64)
+            predicted = pa.array((scores >= THRESHOLD).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), predicted], ["doc_id", "score", "predicted"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(scored, "doc_id long, score double, predicted int").withColumnRenamed("doc_id", id_col)
 
 
+def keep_clean(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``THRESHOLD``; each is judged where it lies, by no join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shared.value)
+        for texts in batches:
+            yield pd.Series([scorer.score(t) for t in texts], dtype=float)
+
+    return docs.where(scores(F.col(text_col).cast("string")) < THRESHOLD)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Train on the labels that aren't held out, score all of ``docs``: doc_id, held_out, score, predicted."""
     model = train(docs, labels.where(~is_held_out()), limits)
