@@ -2,9 +2,9 @@
 
 Suffixes are classified as smaller or larger than their successor; the leftmost smaller ones, with what reaches to the
 next of them, are sorted by induction, named, and ordered by the suffix array of their names, recursively; all others
-follow from their order by two linear passes over the buckets of first symbols. At the level of bytes a bucket is
-induced in batches, one for each step of a run of its symbol; the named strings, with alphabets as large as they are
-long, are induced symbol by symbol.
+follow from their order by two linear passes over the buckets of first symbols. A bucket is induced in batches, one for
+each step of a run of its symbol; the named strings, with alphabets nearly as large as they are long, are induced symbol
+by symbol.
 """
 
 from __future__ import annotations
@@ -101,6 +101,11 @@ def _induce_names(s: list[int], size: int) -> list[int]:
         ends.append(total)
     starts = [e - k for e, k in zip(ends, counts)]
 
+    # the symbol before a suffix if that makes a larger, or smaller, suffix, else -1; the last entry is that of no suffix
+    to_large = [-1, *(-1 if t else c for c, t in zip(s, small))]
+    to_small = [-1, *(c if t else -1 for c, t in zip(s, small))]
+    to_large[n] = to_small[n] = -1  # nothing follows the last symbol
+
     def induced(order: list[int]) -> list[int]:
         out = [-1] * n
         tail = ends[:]
@@ -109,19 +114,17 @@ def _induce_names(s: list[int], size: int) -> list[int]:
             tail[c] -= 1
             out[tail[c]] = i
         head = starts[:]
-        for k in range(n):
-            j = out[k] - 1
-            if j >= 0 and not small[j]:
-                c = s[j]
-                out[head[c]] = j
+        for i in out:  # fills up ahead of the loop
+            c = to_large[i]
+            if c >= 0:
+                out[head[c]] = i - 1
                 head[c] += 1
         tail = ends[:]
-        for k in range(n - 1, -1, -1):
-            j = out[k] - 1
-            if j >= 0 and small[j]:
-                c = s[j]
+        for i in reversed(out):
+            c = to_small[i]
+            if c >= 0:
                 tail[c] -= 1
-                out[tail[c]] = j
+                out[tail[c]] = i - 1
         return out
 
     follows = {a: b for a, b in zip(lms, lms[1:])}

@@ -8,8 +8,9 @@ equal stretches are one with a count, and repeat as a whole. What is left, diffe
 gathered by context into shards of bounded size, and a shard's suffix array and permuted common prefixes tell which
 strings start more than once. No stretch is longer than about two strings but for periodic text.
 
-A context of more than ``GROUP`` different stretches (a passage that very many documents embed) is split by string
-instead: its strings are counted by a 128-bit hash, with partial aggregates, which no number of occurrences can stall.
+The stretches of a context of more than ``GROUP`` different ones (a passage that very many documents embed) are cut into
+blocks of strings, whose context is all that the strings of a block share, and go the same way; blocks that are still too
+many, string by string, where equal ones are told by a count with partial aggregates that no number of them can stall.
 
 Defined cases: a null text is empty; a text shorter than ``LENGTH`` loses nothing; rows of one id are separate texts if
 their text differs and copies of each other otherwise; rows with a null id count and are returned like others.
@@ -37,16 +38,18 @@ K = 32
 HALF = (LENGTH - K) // 2
 #: Different stretches of a context that a shard takes.
 GROUP = 512
+#: Strings of a block, where the stretches of a context are too many: cut finer, then string by string.
+BLOCKS = (23, 1)
 #: Bytes of a shard.
-SHARD = 1 << 20
-#: Bytes of text looked at together.
-BATCH = 1 << 22
+SHARD = 1 << 18
+#: Bytes of text looked at together; longer texts are looked at in parts that overlap, each string in one of them.
+BATCH = 1 << 20
 
-STRETCH = "context long, row long, start long, n int"
+STRETCH = "context long, row long, start long, n int, lead int"
 
 
-def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts: context hash, number of the text, first start of a string, number of starts."""
+def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of the texts: context hash, number of the text, first start of a string, number of starts, bytes to the minimiser."""
     joined = b"".join(texts)
     x = np.frombuffer(joined, np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -54,7 +57,7 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     n = len(x)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none, none, none, none
     powers, inverses = words._power_tables(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((x.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
@@ -83,39 +86,50 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     lo = np.where(left[first], p - HALF, p)
     hi = np.where(left[first], p + K, p + K + HALF)
     context = words.mixed((sums[hi] - sums[lo]) * inverses[lo] + left[first].astype(np.uint64))
-    return context, of[first], first - (ends - sizes)[of[first]], count
+    return context, of[first], first - (ends - sizes)[of[first]], count, p - first
 
 
 def _stretches(docs: DataFrame) -> DataFrame:
     """All stretches of ``docs`` (``row``, ``data``)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[int] = []
+        firsts: list[int] = []
+        parts: list[bytes] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            context, of, start, n, lead = stretches(parts)
+            start = start + np.array(firsts, np.int64)[of]
+            row = np.array(rows, np.int64)[of]
+            columns = [pa.array(context.view(np.int64)), pa.array(row), pa.array(start), pa.array(n, pa.int32()), pa.array(lead, pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, ["context", "row", "start", "n", "lead"])
+
         for batch in batches:
-            data, rows, at = batch.column(1), batch.column(0).to_numpy(), 0
-            while at < batch.num_rows:
-                some, held, end = [], 0, at
-                while end < batch.num_rows and held < BATCH:
-                    some.append(data[end].as_py() or b"")
-                    held += len(some[-1])
-                    end += 1
-                context, of, start, n = stretches(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(context.view(np.int64)), pa.array(rows[at:end][of], pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int32())],
-                    ["context", "row", "start", "n"],
-                )
-                at = end
+            for row, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = data.as_py() or b""
+                for first in range(0, max(1, len(data) - LENGTH + 1), BATCH - LENGTH + 1):
+                    rows.append(row)
+                    firsts.append(first)
+                    parts.append(data[first : first + BATCH])
+                    held += len(parts[-1])
+                    if held >= BATCH:
+                        yield flush()
+                        rows, firsts, parts, held = [], [], [], 0
+        if parts:
+            yield flush()
 
     return docs.mapInArrow(found, STRETCH)
 
 
 #: What one pass over the joined texts writes: 0, a text without stretches that matter, with its digest; 1, another text
 #: as it is; 2, a stretch with its bytes.
-STAGED = "kind int, id long, row long, context long, digest binary, start long, n int, payload binary"
+STAGED = "kind int, id long, row long, context long, digest binary, start long, n int, lead int, payload binary"
 
 
 def _staged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Texts side by side with the stretches asked of them; the only shuffle of all texts."""
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     names = [c.split()[0] for c in STAGED.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,20 +144,21 @@ def _staged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             for id_, row, data, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 data = data.as_py()
                 if not parts.is_valid:
-                    put(0, id_, row, None, None, None, len(data), hashlib.sha256(data).hexdigest().encode())
+                    put(0, id_, row, None, None, None, len(data), None, hashlib.sha256(data).hexdigest().encode())
                     continue
-                put(1, id_, row, None, None, None, len(data), data)
+                put(1, id_, row, None, None, None, len(data), None, data)
+                held += len(data)
                 flat = parts.values
-                for context, start, n in zip(*(flat.field(c).to_pylist() for c in ("context", "start", "n"))):
+                for context, start, n, lead in zip(*(flat.field(c).to_pylist() for c in ("context", "start", "n", "lead"))):
                     piece = data[start : start + n + LENGTH - 1]
                     held += len(piece)
-                    put(2, id_, row, context, xxhash.xxh3_128_digest(piece), start, n, piece)
+                    put(2, id_, row, context, xxhash.xxh3_128_digest(piece), start, n, lead, piece)
                 if held > 1 << 23:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
                     out, held = [[] for _ in names], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
-    by_row = wanted.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("context", "start", "n")).alias("parts"))
+    by_row = wanted.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("context", "start", "n", "lead")).alias("parts"))
     return rows.join(by_row, F.col("row") == F.col("__row"), "left").select("id", "row", "data", "parts").mapInArrow(cut, STAGED)
 
 
@@ -201,23 +216,34 @@ def _shards(texts: DataFrame) -> DataFrame:
     return texts.select("context", "digest", "bytes").mapInArrow(sorted_out, "context long, digest binary, runs array<struct<a: int, b: int>>")
 
 
-def _by_string(texts: DataFrame) -> DataFrame:
-    """The same for contexts too large for a shard: each string counted by its hash."""
-    kind = "context long, digest binary, at int, string binary"
+def _blocks(texts: DataFrame, size: int) -> DataFrame:
+    """Stretches (``context``, ``digest``, ``bytes``) cut into such of ``size`` strings, whose context is all that these share."""
+    kind = "context long, digest binary, row struct<context: bigint, digest: binary>, start long, n int, bytes binary"
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for context, digest, data in zip(*(c.to_pylist() for c in batch.columns)):
-                n = len(data) - LENGTH + 1
-                hashes = [xxhash.xxh3_128_digest(data[i : i + LENGTH]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([context] * n, pa.int64()), pa.array([digest] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(hashes, pa.binary())], ["context", "digest", "at", "string"]
-                )
-
-    rows = texts.select("context", "digest", "bytes").mapInArrow(strings, kind)
-    often = rows.groupBy("string").count().where("count > 1").select("string")
-    runs = F.transform(F.array_sort(F.collect_list("at")), lambda x: F.struct(x.alias("a"), x.alias("b")))
-    return rows.join(often, "string").groupBy("context", "digest").agg(runs.alias("runs"))
+            out: list[list] = [[] for _ in range(6)]
+            for context, digest, lead, data in zip(*(c.to_pylist() for c in batch.columns)):
+                strings, start = len(data) - LENGTH + 1, 0
+                while start < strings:
+                    first = start - (start - lead) % size  # of the whole block: counted from the minimiser, so alike in all
+                    stop = min(strings, first + size)
+                    shared = data[first + size - 1 : first + LENGTH]
+                    piece = data[start : stop - 1 + LENGTH]
+                    values = xxhash.xxh3_64_intdigest(shared), xxhash.xxh3_128_digest(piece), {"context": context, "digest": digest}, start, stop - start, piece
+                    for column, value in zip(out, values):
+                        column.append(value)
+                    start = stop
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.binary()),
+                    pa.array(out[2], pa.struct([("context", pa.int64()), ("digest", pa.binary())])),
+                    pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.binary()),
+                ],
+                ["context", "digest", "row", "start", "n", "bytes"],
+            )
+
+    return texts.select("context", "digest", "lead", "bytes").mapInArrow(cut, kind)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,14 +254,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     unclear = docs.groupBy(ids.alias("id")).count().where("count > 1 OR id IS NULL")
     rows = rows.withColumn("row", F.col("id") if unclear.isEmpty() else F.xxhash64("id", "data"))
     place = f"{ensure_checkpoint_dir(spark)}/stretches-{uuid.uuid4().hex}"
-    found = _stretches(rows.where(F.octet_length("data") >= LENGTH).select("row", "data"))
+    _stretches(rows.where(F.octet_length("data") >= LENGTH).select("row", "data")).write.parquet(f"{place}-all")
+    found = spark.read.schema(STRETCH).parquet(f"{place}-all")
     often = found.groupBy("context").count().where("count > 1").select("context")
     _staged(rows, found.join(often, "context", "left_semi")).write.partitionBy("kind").parquet(place)
+    drop_path(spark, f"{place}-all")
     staged = spark.read.schema(STAGED).parquet(place)
     plain = staged.where("kind = 0").select(
         "id", F.col("n").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.decode("payload", "UTF-8").alias("kept_sha256")
     )
-    found = spans(staged.where("kind = 2").select("context", "digest", "row", "start", "n", F.col("payload").alias("bytes")))
+    found = spans(staged.where("kind = 2").select("context", "digest", "row", "start", "n", "lead", F.col("payload").alias("bytes")))
     found = found.withColumnRenamed("row", "__row")
     others = staged.where("kind = 1").select("id", "row", F.col("payload").alias("data"))
     touched = _kept(others.join(found, F.col("row") == F.col("__row"), "left").select("id", "data", "spans"))
@@ -246,24 +274,35 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def spans(pieces: DataFrame) -> DataFrame:
     """``(row, spans)`` of the rows that have bytes to remove; a span is (first, last start)."""
-    distinct = pieces.groupBy("context", "digest").agg(F.count(F.lit(1)).alias("copies"))
-    sizes = distinct.groupBy("context").agg(F.count(F.lit(1)).alias("kinds"))
+    return _marks(pieces, 0).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+
+def _marks(pieces: DataFrame, level: int) -> DataFrame:
+    """``(row, a, b)``: runs of starts of repeated strings, of stretches ``(context, digest, lead, row, start, n, bytes)``.
+
+    ``lead`` tells how far before the minimiser a stretch starts, so that all stretches of a context are cut alike.
+    """
+    keys = ["context", "digest"]
+    distinct = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+    sizes = distinct.groupBy("context").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest"))
     kinds = checkpoint(distinct.join(sizes, "context"))
-    whole = kinds.where("copies > 1").select("context", "digest")
-    mixed = kinds.where("kinds > 1")
-    places = pieces.select("context", "digest", "row", "start", "n")
-    marks = places.join(whole, ["context", "digest"]).select("row", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1).alias("b"))
+    whole = kinds.where("copies > 1").select(*keys)
+    mixed = kinds.where("kinds > 1 AND fewest = 1")  # else all repeat as a whole
+    places = pieces.select(*keys, "row", "start", "n")
+    marks = places.join(whole, keys).select("row", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1).alias("b"))
     if not mixed.isEmpty():
-        one = pieces.groupBy("context", "digest").agg(F.first("bytes").alias("bytes"))
-        texts_of = one.join(mixed.select("context", "digest", "kinds"), ["context", "digest"])
+        one = pieces.groupBy(*keys).agg(F.first("bytes").alias("bytes"), F.first("lead").alias("lead"))
+        texts_of = one.join(mixed.select(*keys, "kinds"), keys)
         n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        partly = _shards(texts_of.where(F.col("kinds") <= GROUP).repartition(n, "context").sortWithinPartitions("context", "digest"))
-        if not mixed.where(F.col("kinds") > GROUP).isEmpty():
-            partly = partly.unionByName(_by_string(texts_of.where(F.col("kinds") > GROUP)))
-        partly = partly.where("size(runs) > 0").join(whole, ["context", "digest"], "left_anti")
-        inner = places.join(partly, ["context", "digest"]).select("row", "start", F.explode("runs").alias("r"))
-        marks = marks.unionByName(inner.select("row", (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")))
-    return marks.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+        partly = _shards(texts_of.where(F.col("kinds") <= GROUP).repartition(n, "context").sortWithinPartitions(*keys))
+        if level < len(BLOCKS) and not mixed.where(F.col("kinds") > GROUP).isEmpty():
+            finer = checkpoint(_blocks(texts_of.where(F.col("kinds") > GROUP), BLOCKS[level]).withColumn("lead", F.lit(0)))
+            inner = _marks(finer, level + 1).groupBy("row").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))).alias("runs"))
+            partly = partly.unionByName(inner.select("row.context", "row.digest", "runs"))
+        partly = partly.where("size(runs) > 0").join(whole, keys, "left_anti")
+        found = places.join(partly, keys).select("row", "start", F.explode("runs").alias("r"))
+        marks = marks.unionByName(found.select("row", (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")))
+    return marks
 
 
 def _kept(rows: DataFrame) -> DataFrame:

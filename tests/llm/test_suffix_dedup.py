@@ -37,8 +37,9 @@ def fixture():
     return rows
 
 
-@pytest.mark.parametrize("group,shard", [(512, 1 << 20), (1, 1 << 20), (512, 1000)])
-def test_against_brute_force(spark, monkeypatch, group, shard):
+@pytest.mark.parametrize("group,shard,batch", [(512, 1 << 20, 1 << 20), (1, 1 << 20, 1000), (512, 1000, 500)])
+def test_against_brute_force(spark, monkeypatch, group, shard, batch):
+    monkeypatch.setattr(S, "BATCH", batch)
     monkeypatch.setattr(S, "GROUP", group)
     monkeypatch.setattr(S, "SHARD", shard)
     rows = fixture()
