@@ -1,10 +1,34 @@
-"""Summaries of a collection of file records (``ordinal``, ``hash``, ``name``, ``size``, ``media_type``, ``source``)."""
+"""Summaries of a collection of file records (``ordinal``, ``hash``, ``name``, ``size``, ``media_type``, ``source``,
+``date_modified``). "First" always means the smallest ``ordinal``; no summary gathers a collection in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filelode.functions.scalars import human_size
+
+#: Items of a panel before the rest is summed up.
+PANEL = 14
+
+
+def _first_of(order: Column, value: str) -> Column:
+    return F.min(F.struct(order.alias("o"), F.col("ordinal"), F.col(value).alias("v")))["v"]
+
+
+def overall(files: DataFrame) -> DataFrame:
+    """One row: count, bytes, mean size and the first largest, smallest, newest and oldest file. No files: zeros, nulls."""
+    out = files.agg(
+        F.count(F.lit(1)).alias("total_files"),
+        F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"),
+        _first_of(-F.col("size"), "name").alias("largest"),
+        _first_of(F.col("size"), "name").alias("smallest"),
+        _first_of(-F.unix_micros("date_modified"), "name").alias("newest"),
+        _first_of(F.unix_micros("date_modified"), "name").alias("oldest"),
+    )
+    mean = F.when(F.col("total_files") > 0, F.round(F.col("total_size") / F.col("total_files"), 6)).otherwise(0.0)
+    return out.withColumn("avg_size", mean)
+
 
 def share_by(files: DataFrame, key: str) -> DataFrame:
     """Count, bytes and share of all bytes for each value of ``key``; null or empty is "unknown".
@@ -25,3 +49,172 @@ def share_by(files: DataFrame, key: str) -> DataFrame:
         .orderBy(F.desc("total_size"), "__first")
         .select(key, "files", "total_size", share.alias("percentage"))
     )
+
+
+def duplicate_sets(files: DataFrame, min_size: int | None = None, max_size: int | None = None) -> DataFrame:
+    """Files of equal hash, most wasted bytes first: ``min_size`` is exclusive, ``max_size`` inclusive.
+
+    ``first_name`` stands for the set; ``members`` lists them in another table, see ``duplicate_members``.
+    """
+    some = files
+    if min_size is not None:
+        some = some.where(F.col("size") > min_size)
+    if max_size is not None:
+        some = some.where(F.col("size") <= max_size)
+    first = F.min(F.struct("ordinal", "size", "name"))
+    sets = some.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), first.alias("f")).where("copies > 1")
+    wasted = F.col("f.size") * (F.col("copies") - 1)
+    return (
+        sets.select("hash", "copies", F.col("f.size").alias("size"), F.col("f.name").alias("first_name"), wasted.alias("wasted"), F.col("f.ordinal").alias("__o"))
+        .orderBy(F.desc("wasted"), "__o")
+        .drop("__o")
+    )
+
+
+def duplicate_members(files: DataFrame, sets: DataFrame) -> DataFrame:
+    """One row for each file of a duplicate set, so that a set of any size is rows, not one array."""
+    return files.join(sets.select("hash"), "hash", "left_semi").select("hash", "ordinal", "name")
+
+
+def duplicate_totals(sets: DataFrame) -> DataFrame:
+    """One row: number of sets, files in them, wasted bytes and how to show these."""
+    total = F.coalesce(F.sum("wasted"), F.lit(0))
+    return sets.agg(F.count(F.lit(1)).alias("total_sets"), F.coalesce(F.sum("copies"), F.lit(0)).alias("files"), total.alias("wasted"), human_size(total).alias("wasted_text"))
+
+
+def staged_duplicates(files: DataFrame, min_size: int = 0, max_size: int | None = None, quick: str | None = None) -> DataFrame:
+    """Duplicates as a directory scan finds them: by size, then by a cheap hash if given, then by full hash.
+
+    Both bounds are inclusive. Each step keeps what the one before left in groups of two or more, found by a partial
+    aggregate and a semi-join; the full hash of a file whose size is unique is never looked at. Largest files first.
+    """
+    some = files.where(F.col("size") >= min_size)
+    if max_size is not None:
+        some = some.where(F.col("size") <= max_size)
+    for keys in (["size"], ["size", quick]) if quick else (["size"],):
+        often = some.groupBy(*keys).count().where("count > 1").drop("count")
+        some = some.join(often, keys, "left_semi")
+    found = some.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("ordinal", "size")).alias("f")).where("copies > 1")
+    return found.orderBy(F.desc("f.size"), "f.ordinal").select("hash", "copies", F.col("f.size").alias("size"))
+
+
+def directory_summary(files: DataFrame) -> DataFrame:
+    """One row over stat rows (``name``, ``size``, ``mode``, ``is_dir``): counts, hidden names, bytes, owner permissions.
+
+    Rows without a size could not be read: they count as files but not in sizes or permissions.
+    """
+    plain, read = ~F.col("is_dir"), ~F.col("is_dir") & F.col("size").isNotNull()
+    can_read, can_write, can_run = (F.col("mode").bitwiseAND(bit) != 0 for bit in (0o400, 0o200, 0o100))
+    return files.agg(
+        F.count_if(plain).alias("total_files"),
+        F.count_if(F.col("is_dir")).alias("total_dirs"),
+        F.count_if(plain & F.col("name").startswith(".")).alias("hidden_files"),
+        F.coalesce(F.sum(F.when(read, F.col("size"))), F.lit(0)).alias("total_size"),
+        F.coalesce(F.round(F.avg(F.when(read, F.col("size"))), 6), F.lit(0.0)).alias("avg_size"),
+        F.count_if(read & can_read & ~can_write).alias("read_only"),
+        F.count_if(read & can_write & ~can_read).alias("write_only"),
+        F.count_if(read & can_run).alias("executable"),
+    )
+
+
+def top_and_other(rows: DataFrame, key: str, by: str, order: list[Column], k: int = PANEL) -> DataFrame:
+    """The ``k`` first rows (``key``, ``by``) and one row "Other" with the sum of the rest, if there is any.
+
+    The first rows come from a top-k, the rest by subtracting their sum from the total: nothing is ranked as a whole.
+    """
+    top = rows.orderBy(*order).limit(k).select(key, by)
+    sums = top.agg(F.coalesce(F.sum(by), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n"))
+    whole = rows.agg(F.coalesce(F.sum(by), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("m"))
+    other = whole.crossJoin(sums).where("m > n").select(F.lit("Other").alias(key), (F.col("t") - F.col("s")).alias(by))  # a row each
+    return top.unionByName(other)
+
+
+def panel_by(files: DataFrame, key: str, measure: str, k: int = PANEL) -> DataFrame:
+    """A panel of ``key`` by ``count`` or by ``total_size``; extensions that are null or empty are left out."""
+    some = files.where(F.coalesce(F.col(key), F.lit("")) != "") if key == "extension" else files
+    value = F.count(F.lit(1)) if measure == "count" else F.sum("size")
+    groups = some.groupBy(key).agg(value.alias(measure), F.min("ordinal").alias("__o"))
+    return top_and_other(groups, key, measure, [F.desc(measure), F.asc("__o")], k)
+
+
+def largest_files(files: DataFrame, k: int = PANEL) -> DataFrame:
+    """The panel of largest files; "Other" only if it has bytes, nothing if no file has."""
+    found = top_and_other(files.select("name", "size", "ordinal"), "name", "size", [F.desc("size"), F.asc("ordinal")], k)
+    return found.where((F.col("name") != "Other") | (F.col("size") > 0))
+
+
+def most_recent(files: DataFrame) -> DataFrame:
+    return files.orderBy(F.desc("date_modified"), "ordinal").limit(1)
+
+
+def size_histogram(files: DataFrame, most_bins: int = 25) -> DataFrame:
+    """Positive sizes in Freedman-Diaconis bins, logarithmic if they span more than three orders of magnitude.
+
+    Quartiles are the exclusive ones (position i (n + 1) / 4): the sizes around both positions are found from counts by
+    size. Few values (under 5 different, under 20 in all) are counted one by one instead. ``bin`` counts from 0.
+    """
+    counts = files.where("size > 0").groupBy("size").agg(F.count(F.lit(1)).alias("c"))
+    stats = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"), F.min("size").alias("lo"), F.max("size").alias("hi")).first()
+    n, kinds, lo, hi = stats["n"] or 0, stats["d"], stats["lo"], stats["hi"]
+    if not n:
+        return counts.select(F.lit(0).alias("bin"), F.col("size").cast("double").alias("lower"), F.col("size").cast("double").alias("upper"), F.col("c").alias("count")).limit(0)
+    size = F.col("size").cast("double")
+    if kinds < 5 and n < 20:
+        rank = F.row_number().over(Window.orderBy("size")) - 1  # four rows at most
+        return counts.select(rank.alias("bin"), size.alias("lower"), size.alias("upper"), F.col("c").alias("count"))
+    bins = 1
+    if n > 1:
+        q1, q3 = (_quartile(counts, n, i) for i in (1, 3))
+        if q3 > q1:
+            bins = -int(-(hi - lo) // (2 * (q3 - q1) / n ** (1 / 3)))
+    bins = max(1, min(bins, most_bins))
+    if hi / lo > 1000:
+        a, b = F.log10(F.lit(float(lo))), F.log10(F.lit(float(hi)))
+        edges = [F.pow(F.lit(10.0), a + F.lit(i) * (b - a) / bins) for i in range(bins + 1)]
+    else:
+        edges = [F.lit(lo + i * (hi - lo) / bins) for i in range(bins + 1)]
+    at = F.lit(None).cast("int")
+    for i in range(bins - 1, -1, -1):
+        inside = (size >= edges[i]) & ((size < edges[i + 1]) | ((size == edges[i + 1]) if i == bins - 1 else F.lit(False)))
+        at = F.when(inside, i).otherwise(at)
+    edge = F.array(*edges)
+    return (
+        counts.select(at.alias("bin"), "c").where("bin IS NOT NULL").groupBy("bin").agg(F.sum("c").alias("count"))
+        .select("bin", F.round(F.get(edge, F.col("bin")), 3).alias("lower"), F.round(F.get(edge, F.col("bin") + 1), 3).alias("upper"), "count")
+    )
+
+
+def _quartile(counts: DataFrame, n: int, i: int) -> float:
+    """The exclusive ``i``-th quartile from counts by size: the values at two positions, by exact percentiles' positions."""
+    j = max(1, min(i * (n + 1) // 4, n - 1))
+    delta = i * (n + 1) - 4 * j
+    # percentile(p) reads position p * (n - 1) from 0, so whole positions give whole values
+    a, b = counts.agg(F.expr(f"percentile(size, array({j - 1}D / {n - 1}, {j}D / {n - 1}), c)").alias("p")).first()["p"]
+    return (round(a) * (4 - delta) + round(b) * delta) / 4
+
+
+def cache_summary(cache: DataFrame) -> DataFrame:
+    """One row: all cached rows, rows with a full record, rows with hashes alone."""
+    full = F.count_if(F.col("record").isNotNull())
+    return cache.agg(F.count(F.lit(1)).alias("total"), full.alias("full_records"), (F.count(F.lit(1)) - full).alias("hash_only"))
+
+
+def batch_totals(rows: DataFrame, key: str, value: Column) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.sum(value).alias("total"))
+
+
+def tracks_by_type(tracks: DataFrame, key: str = "file", kind: str = "kind") -> DataFrame:
+    """The first General track of each file and how many tracks of other kinds it has."""
+    general = F.min(F.when(F.col(kind) == "General", F.struct("track_no", "format")))
+    return tracks.groupBy(key).agg(
+        general["format"].alias("general_format"), F.count_if(F.col(kind) != "General").alias("other_tracks"), F.count_distinct(kind).alias("kinds")
+    )
+
+
+def merged_results(results: DataFrame, core: list[str]) -> DataFrame:
+    """Model results (``file``, ``schema``, ``step``, ``record``, ``error``) merged: of a core schema the last, of others all
+    in order. Results with an error are left out. ``step`` numbers the pipeline's steps, so a file has few results."""
+    good = results.where(F.col("error").isNull())
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("step", "record"))), lambda x: x["record"])
+    by = good.groupBy("file", "schema").agg(parts.alias("records"))
+    return by.withColumn("records", F.when(F.col("schema").isin(core), F.slice("records", -1, 1)).otherwise(F.col("records")))
