@@ -57,8 +57,8 @@ def parse_size(text: Column) -> Column:
 
 
 def json_size(json: Column) -> Column:
-    """Bytes of a JSON text written with ASCII escapes: 6 for a letter beyond ASCII, 12 beyond the basic plane."""
-    ascii_only = F.length(F.regexp_replace(json, r"[^\x00-\x7F]", ""))
+    """Bytes of a JSON text written with ASCII escapes: 6 for a letter beyond "~", 12 beyond the basic plane."""
+    ascii_only = F.length(F.regexp_replace(json, r"[^\x00-\x7E]", ""))
     beyond = F.length(F.regexp_replace(json, r"[\x00-\x{FFFF}]", ""))
     return ascii_only + 6 * (F.length(json) - ascii_only - beyond) + 12 * beyond
 

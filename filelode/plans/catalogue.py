@@ -77,7 +77,7 @@ def s2_parse_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @named(
     "s3_json_size",
-    "SELECT conv_id, turn, sum(CASE WHEN unicode(c) < 128 THEN 1 WHEN unicode(c) < 65536 THEN 6 ELSE 12 END)::BIGINT AS bytes "
+    "SELECT conv_id, turn, sum(CASE WHEN unicode(c) < 127 THEN 1 WHEN unicode(c) < 65536 THEN 6 ELSE 12 END)::BIGINT AS bytes "
     "FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '(?s).')) AS c FROM conversations) GROUP BY conv_id, turn",
 )
 def s3_json_size(spark: SparkSession, sf_dir: str) -> DataFrame:
