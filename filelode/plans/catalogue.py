@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelode.functions import scalars as S
+from filelode.functions.dates import pdf_date
+from filelode.functions.layout import page_tokens
 from filelode.operators import aggregates as A
 from filelode.operators import filters, sets
+from filelode.sources.hashes import blake3_of
 from filelode.plans.views import BIG_FILES_SQL, FILES_SQL, big_files, files, read, tags
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,6 +221,39 @@ def f12_dataset_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", S.dataset_id(F.col("url")).alias("dataset_id"))
 
 
+@named(
+    "s7_pdf_date",
+    """SELECT o_orderkey, CASE o_custkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(o_orderdate - INTERVAL 150 MINUTE, '%Y-%m-%d %H:%M:%S')
+      WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00') END AS at FROM orders""",
+)
+def s7_pdf_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day, kind = F.date_format("o_orderdate", "yyyyMMdd"), F.col("o_custkey") % 5
+    text = (
+        F.when(kind == 0, F.concat(F.lit("D:"), day, F.date_format("o_orderdate", "HHmmss"), F.lit("Z")))
+        .when(kind == 1, F.concat(F.lit("(D:"), day, F.date_format("o_orderdate", "HHmmss"), F.lit("+02'30')")))
+        .when(kind == 2, F.concat(day, F.lit("9956261"))).when(kind == 3, F.lit("none")).otherwise(F.col("o_orderpriority"))
+    )
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.date_format(pdf_date(text), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@named(
+    "sc10_page_tokens",
+    """SELECT l_orderkey, l_partkey, l_linenumber, least(greatest(trunc(l_quantity / 40 * 1000)::INT, 0), 1000) AS x0, least(greatest(trunc((50 - l_tax * 1000) / 50 * 1000)::INT, 0), 1000) AS y0 FROM lineitem""",
+)
+def sc10_page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = F.col("l_quantity"), F.col("l_tax") * 1000
+    token = F.struct(F.col("l_returnflag").alias("text"), q.alias("left"), F.lit(0.0).alias("bottom"), (q + 1).alias("right"), t.alias("top"))
+    boxes = page_tokens(F.array(token), F.lit(40.0), F.lit(50.0), "per_mille")
+    box = F.get(boxes, F.lit(0))["box"]
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.get(box, F.lit(0)).alias("x0"), F.get(box, F.lit(1)).alias("y0"))
+
+
+@named("h1_blake3")
+def h1_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return read(spark, sf_dir, "documents").select("doc_id", blake3_of(text).alias("blake3"))
+
+
 # Filters
 
 
