@@ -21,7 +21,9 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+#: Above all ranks: of pairs that don't merge, and of empty leaves.
 NO_PAIR = np.int64(1) << 40
+LAST_RANK = 1 << 24
 #: Pieces of at most this many bytes are merged in batches.
 SHORT = 64
 #: Short pieces merged at a time: their trees fit a core's cache.
@@ -128,59 +130,67 @@ def merge_one(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]])
 def merge_many(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """The merges of many short pieces: row ``r`` of ``symbols`` holds ``lengths[r]`` symbols, its width a power of two.
 
-    Returns all ids, piece after piece, and the number of ids of each.
+    Returns all ids, piece after piece, and the number of ids of each. Arrays are flat: place ``i`` of row ``r`` is at
+    ``r * width + i``, node ``n`` of its tree at ``2 * r * width + n``. A leaf is ``rank * width + i``.
     """
     rows, width = symbols.shape
-    symbols = symbols.astype(np.int64)
-    place = np.arange(width)
-    after = np.tile(place + 1, (rows, 1))
-    before = np.tile(place - 1, (rows, 1))
-    alive = place[None, :] < lengths[:, None]
-    none = NO_PAIR * width
-    tree = np.full((rows, 2 * width), none)
-    merged_of = np.zeros((rows, width), np.int64)  # what the pair that starts at a place becomes
-    r, i = np.nonzero(alive[:, 1:]) if width > 1 else (np.zeros(0, np.int64),) * 2
-    rank, merged = table.find(symbols[r, i], symbols[r, i + 1])
-    tree[r, width + i] = np.where(rank < NO_PAIR, rank * width + i, none)
-    merged_of[r, i] = merged
+    place = np.arange(width, dtype=np.int32)
+    alive = (place[None, :] < lengths[:, None]).ravel()
+    symbols = symbols.astype(np.int64).ravel()
+    if width == 1:
+        return symbols[alive], lengths.copy()
+    held = 2 * width
+    none = np.int32(LAST_RANK * width)
+    after, before = np.tile(place + 1, rows), np.tile(place - 1, rows)
+    tree = np.full((rows, held), none, np.int32)
+    becomes = np.zeros(rows * width, np.int64)  # what the pair that starts at a place becomes
+    second = alive.reshape(rows, width).copy()
+    second[:, :-1] = second[:, 1:]
+    second[:, -1] = False
+    at = np.flatnonzero(second.ravel())
+    rank, becomes[at] = table.find(symbols[at], symbols[at + 1])
+    leaf = np.where(rank < NO_PAIR, rank * width + at % width, none)
+    tree[at // width, width + at % width] = leaf
     level = width
     while level > 1:
         half = level // 2
         tree[:, half:level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
         level = half
-    flat, held = tree.ravel(), 2 * width
-
-    def put(r: np.ndarray, i: np.ndarray, value: np.ndarray) -> None:
-        at = r * held
-        i = i + width
-        flat[at + i] = value
-        while i[0] > 1:
-            value = np.minimum(value, flat[at + (i ^ 1)])
-            i >>= 1
-            flat[at + i] = value
+    tree = tree.ravel()
+
+    def put(top: np.ndarray, i: np.ndarray, value: np.ndarray) -> None:
+        node = i + width
+        tree[top + node] = value
+        for _ in range(width.bit_length() - 1):
+            value = np.minimum(value, tree[top + (node ^ 1)])
+            node = node >> 1
+            tree[top + node] = value
 
-    act = np.flatnonzero(tree[:, 1] < none) if width > 1 else np.zeros(0, np.int64)
+    act = np.flatnonzero(tree[1::held] < none)
     while len(act):
-        i = flat[act * held + 1] % width
-        j = after[act, i]
-        symbols[act, i] = merged_of[act, i]
-        alive[act, j] = False
-        k = after[act, j]
-        after[act, i] = k
-        put(act, j, np.full(len(act), none))
-        for first, second in ((i, k), (before[act, i], i)):
-            inside = (first >= 0) & (second < lengths[act])
-            rr, a, b = act[inside], first[inside], second[inside]
-            if len(rr):
-                before[rr, b] = a
-                rank, merged = table.find(symbols[rr, a], symbols[rr, b])
-                merged_of[rr, a] = merged
-                put(rr, a, np.where(rank < NO_PAIR, rank * width + a, none))
-            gone = act[~inside & (first >= 0)]
-            if len(gone):
-                put(gone, first[~inside & (first >= 0)], np.full(len(gone), none))
-        act = act[flat[act * held + 1] < none]
-    return symbols[alive], alive.sum(axis=1)
+        row, top = act * width, act * held
+        i = tree[top + 1] % width
+        here = row + i
+        j = after[here]
+        gone = row + j
+        symbols[here] = becomes[here]
+        alive[gone] = False
+        k = after[gone]
+        after[here] = k
+        put(top, j, none)
+        right, h = k < lengths[act], before[here]
+        left = h >= 0
+        before[(row + k)[right]] = i[right]
+        first = np.concatenate([here[right], (row + h)[left]])
+        then = np.concatenate([(row + k)[right], here[left]])
+        rank, becomes[first] = table.find(symbols[first], symbols[then])
+        n = int(right.sum())
+        value = np.full(len(act), none, np.int32)
+        value[right] = np.where(rank[:n] < NO_PAIR, rank[:n] * width + i[right], none)
+        put(top, i, value)
+        put(top[left], h[left], np.where(rank[n:] < NO_PAIR, rank[n:] * width + h[left], none).astype(np.int32))
+        act = act[tree[top + 1] < none]
+    return symbols[alive], alive.reshape(rows, width).sum(axis=1)
 
 
 class Bpe:
@@ -213,6 +223,7 @@ class Bpe:
         back = {c: b for b, c in enumerate(letters)}
         self.raw = [bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in self.names] if self.byte_decoder else []
         self.spaces_vanish = not pattern.endswith(r"|\s+")
+        self.remembered = REMEMBERED
         self.known: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -339,7 +350,7 @@ class Bpe:
 
         def flush() -> Iterator[np.ndarray]:
             for cache in (self.known, self.chunks):
-                if len(cache) > REMEMBERED:
+                if len(cache) > self.remembered:
                     cache.clear()
             self.learn({p for pieces, _ in waiting for p in pieces})
             chunks: set[str] = set()
