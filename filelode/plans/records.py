@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filelode.functions import languages
+from filelode.operators import catalog, validation
 from filelode.operators import records as R
-from filelode.operators import validation
 from filelode.plans.catalogue import named
 from filelode.plans.views import FILES_SQL, files, read
 
@@ -275,3 +276,70 @@ def r15_add_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def r16_remove_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.collection_removal(*_members(spark, sf_dir))
+
+
+_COLLECTIONS_SQL = "c AS (SELECT c_custkey AS collection_id, c_nationkey AS date_modified, c_nationkey % 2 = 0 AS is_private FROM customer), m AS (SELECT DISTINCT o_custkey AS collection_id, o_orderkey AS hash FROM orders)"
+
+
+@named(
+    "r13_list_collections",
+    f"""WITH {_COLLECTIONS_SQL}, s AS (SELECT collection_id, count(*) AS total_files, sum(trunc(o_totalprice)::BIGINT)::BIGINT AS total_size_bytes FROM m JOIN orders ON o_orderkey = hash GROUP BY collection_id),
+    p AS (SELECT * FROM c ORDER BY date_modified DESC, collection_id LIMIT 50 OFFSET 50)
+    SELECT collection_id, date_modified, is_private, coalesce(total_files, 0) AS total_files, coalesce(total_size_bytes, 0) AS total_size_bytes FROM p LEFT JOIN s USING (collection_id)""",
+)
+def r13_list_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders")
+    collections = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("collection_id"), F.col("c_nationkey").alias("date_modified"), (F.col("c_nationkey") % 2 == 0).alias("is_private"))
+    members = orders.select(F.col("o_custkey").alias("collection_id"), F.col("o_orderkey").alias("hash")).distinct()
+    sizes = orders.select(F.col("o_orderkey").alias("hash"), F.col("o_totalprice").cast("long").alias("size"))
+    return catalog.list_collections(collections, members, sizes, number=2)
+
+
+@named(
+    "r19_sync",
+    f"""WITH {_MEMBERS_SQL}, s AS (SELECT collection_id, hash, max(o) AS o, max(n) AS n FROM (SELECT *, 1 AS o, 0 AS n FROM m UNION ALL SELECT *, 0, 1 FROM asked) GROUP BY ALL)
+    SELECT collection_id, count(*) FILTER (o = 0) AS added, count(*) FILTER (n = 0) AS removed, count(*) FILTER (o = 1 AND n = 1) AS unchanged FROM s
+    WHERE collection_id IN (SELECT collection_id FROM asked) GROUP BY collection_id""",
+)
+def r19_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.sync(*_members(spark, sf_dir))[1]
+
+
+@named("r17_privacy", f"WITH {_COLLECTIONS_SQL} SELECT collection_id, CASE WHEN collection_id IN (1, 2, 3) THEN true ELSE is_private END AS is_private FROM c")
+def r17_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("collection_id"), (F.col("c_nationkey") % 2 == 0).alias("is_private"))
+    return catalog.set_privacy(rows, [1, 2, 3], True)
+
+
+@named("n5_tag_all", f"WITH {FILES_SQL} SELECT hash, t.name, t.value, t.private FROM files, (VALUES ('kind', 'text', true), ('label', 'x', false)) t(name, value, private)")
+def n5_tag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.tag_all(files(spark, sf_dir), [("kind", "text", True), ("label", "x", False)])
+
+
+@named(
+    "c6_cached_or_computed",
+    _CACHE_SQL + """, now AS (SELECT name AS path, ordinal % 5 AS modified, hash FROM files)
+    SELECT n.path, n.modified, CASE WHEN c.hash IS NULL THEN upper(n.hash) ELSE c.hash END AS hash, CASE WHEN c.hash IS NULL THEN 'disk' ELSE 'cache' END AS origin
+    FROM now n LEFT JOIN cache c USING (path, modified)""",
+)
+def c6_cached_or_computed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = files(spark, sf_dir).select(F.col("name").alias("path"), (F.col("ordinal") % 5).alias("modified"), "hash")
+    return catalog.cached_or_computed(now, _cache(spark, sf_dir), lambda rows: rows.withColumn("hash", F.upper("hash")))
+
+
+@named(
+    "s6_language",
+    """SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' END AS name,
+      CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'es' THEN 'spa' END AS code, lang || '-419' AS locale FROM documents""",
+)
+def s6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit(" "), "lang", F.lit("_419"))
+    return read(spark, sf_dir, "documents").select(
+        "doc_id", languages.language_name(text).alias("name"), languages.language_code(F.col("lang")).alias("code"), languages.locale(text).alias("locale")
+    )
+
+
+@named("sk8_push", "SELECT 0 AS failed, count(*)::BIGINT AS records FROM orders")
+def sk8_push(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = catalog.push(read(spark, sf_dir, "orders").select("o_orderkey"), lambda batch: None)
+    return outcome.agg(F.count("error").cast("int").alias("failed"), F.sum("records").alias("records"))
