@@ -91,9 +91,35 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok FROM embeddings
+), l AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.ok AND b.ok AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.95
+), r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.v, r.root FROM r JOIN l ON l.u = r.node)
+SELECT vec_id, (SELECT count(*) FROM l WHERE u = vec_id) AS n_links, min(root) AS component_id, vec_id = min(root) AS kept
+FROM v JOIN r ON node = vec_id GROUP BY vec_id
+"""
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS s FROM (SELECT doc_id, h, unnest(range(greatest(0, n - 399))) AS i FROM d)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS c FROM w) WHERE c > 1),
+m AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM g)),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM m GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM p),
+t AS (SELECT doc_id, count(*) AS spans, sum(b - a)::BIGINT AS gone, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_best_fit_packing": op5_best_fit_packing, "op6_html_extraction": op6_html_extraction, "op7_embedding_dedup": op7_embedding_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op7_embedding_dedup": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
