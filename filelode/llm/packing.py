@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filelode.llm import bpe
-from filelode.llm.common import checkpoint
+from filelode.llm.common import checkpoint, give_back
 
 CAPACITY = 2048
 END = 0
@@ -43,11 +43,18 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(n, first))] + [(at, capacity) for at in range(first, n, capacity)]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of each document's ids and ``END``: doc_id, piece, start, length, ids_crc32."""
+def pieces(
+    docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", remembered: int = bpe.REMEMBERED
+) -> DataFrame:
+    """The pieces of each document's ids and ``END``: doc_id, piece, start, length, ids_crc32.
+
+    ``remembered`` words are kept by a worker; fewer than the encoder's own number are forgotten after each task, with the
+    encoder, for jobs whose other stages need the memory.
+    """
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe.load(path)
+        model.remembered = remembered
         for batch in batches:
             rows, n, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(model.encode_batch(t.as_py() for t in batch.column(1))):
@@ -60,6 +67,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
                     crc.append(zlib.crc32(ids[at : at + size]))
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if remembered < bpe.REMEMBERED:
+            del model
+            bpe.load.cache_clear()
+            give_back()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(tokenised, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -133,6 +144,7 @@ def _round(bins: DataFrame, capacity: int) -> DataFrame:
 
 def pack(found: DataFrame, capacity: int = CAPACITY, tolerance: int = TOLERANCE, items: int = ITEMS) -> DataFrame:
     """``found`` (as ``pieces`` gives it) with ``sequence_id`` and ``offset``: sequences are gapless from 0."""
+    found = checkpoint(found)  # else each task has two Python workers, and both come to hold an encoder
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
     bins = checkpoint(_round(found.select(F.col("length").cast("int").alias("used"), F.array(member).alias("members")), capacity))
     full = F.col("used") >= capacity - tolerance
@@ -153,6 +165,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY, tolerance: int = TOLERANCE,
     )
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(
+    docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", remembered: int = bpe.REMEMBERED
+) -> DataFrame:
     """Tokenise and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(pieces(docs, path, capacity, id_col, text_col), capacity).withColumnRenamed("doc_id", id_col)
+    return pack(pieces(docs, path, capacity, id_col, text_col, remembered), capacity).withColumnRenamed("doc_id", id_col)

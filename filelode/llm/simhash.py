@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filelode.llm.common import attach_groups, checkpoint
+from filelode.llm.common import attach_groups, checkpoint, give_back
 from filelode.llm.graph import connected_components
 
 SEED = 42
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = batch.column(1).cast(pa.large_binary())
             fps = np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        give_back()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(hashed, "doc_id long, fp long")

@@ -19,12 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filelode.llm.common import checkpoint
+from filelode.llm.common import checkpoint, give_back
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 22
@@ -196,13 +195,17 @@ def keep_clean(docs: DataFrame, model: FactorizationMachine, text_col: str = "te
     """The rows of ``docs``, all columns, that score below ``THRESHOLD``; each is judged where it lies, by no join."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    place = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for texts in batches:
-            yield pd.Series([scorer.score(t) for t in texts], dtype=float)
+        for batch in batches:
+            texts = batch.column(place).cast(pa.string())
+            yield batch.filter(pa.array([scorer.score(t.as_py()) < THRESHOLD for t in texts], pa.bool_()))
+        del scorer
+        give_back()
 
-    return docs.where(scores(F.col(text_col).cast("string")) < THRESHOLD)
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
