@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filelode.llm import words
-from filelode.llm.common import checkpoint, drop_path, ensure_checkpoint_dir
+from filelode.llm.common import attach_groups, checkpoint, drop_path, ensure_checkpoint_dir
 from filelode.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 400
@@ -283,9 +283,9 @@ def _marks(pieces: DataFrame, level: int) -> DataFrame:
     ``lead`` tells how far before the minimiser a stretch starts, so that all stretches of a context are cut alike.
     """
     keys = ["context", "digest"]
-    distinct = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+    distinct = checkpoint(pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")))
     sizes = distinct.groupBy("context").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest"))
-    kinds = checkpoint(distinct.join(sizes, "context"))
+    kinds = checkpoint(attach_groups(distinct, sizes, "context", "kinds", distinct.count()))
     whole = kinds.where("copies > 1").select(*keys)
     mixed = kinds.where("kinds > 1 AND fewest = 1")  # else all repeat as a whole
     places = pieces.select(*keys, "row", "start", "n")
