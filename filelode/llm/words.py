@@ -1,6 +1,6 @@
 """Words of UTF-8 texts in arrays: where they begin and end, and 64-bit hashes of words and shingles.
 
-A word is a run of ASCII letters and digits and of bytes above 127; ASCII letters count as lower case.
+A word is a run of bytes other than ASCII white space; ASCII letters count as lower case.
 """
 
 from __future__ import annotations
@@ -8,10 +8,8 @@ from __future__ import annotations
 import numpy as np
 
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-IS_WORD = np.zeros(256, bool)
-IS_WORD[128:] = True
-for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
-    IS_WORD[_c] = True
+IS_WORD = np.ones(256, bool)
+IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
