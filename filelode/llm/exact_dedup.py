@@ -63,7 +63,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     Rows whose text an earlier batch brought are not kept. New digests are in ``index`` afterwards.
     """
     rows = checkpoint(docs.select(F.col(id_col).cast("long").alias("__id"), text_digest(F.col(text_col)).alias("digest")))
-    groups = rows.groupBy("digest").agg(F.min("__id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
+    # computed before the anti-join, which would else be pushed below the aggregate and shuffle every row of a hot digest
+    groups = checkpoint(rows.groupBy("digest").agg(F.min("__id").alias("first_id"), F.count(F.lit(1)).alias("group_size")))
     known = index.read()
     fresh = checkpoint(groups.join(known.select("digest").hint("merge"), "digest", "left_anti"))
     index.append(fresh.select("digest", F.col("first_id").alias("keep_id")))

@@ -256,7 +256,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = f"{ensure_checkpoint_dir(spark)}/stretches-{uuid.uuid4().hex}"
     _stretches(rows.where(F.octet_length("data") >= LENGTH).select("row", "data")).write.parquet(f"{place}-all")
     found = spark.read.schema(STRETCH).parquet(f"{place}-all")
-    often = found.groupBy("context").count().where("count > 1").select("context")
+    # computed first: only a join of plain shuffles can split the stretches of a context that very many texts have
+    often = checkpoint(found.groupBy("context").count().where("count > 1").select("context"))
     _staged(rows, found.join(often, "context", "left_semi")).write.partitionBy("kind").parquet(place)
     drop_path(spark, f"{place}-all")
     staged = spark.read.schema(STAGED).parquet(place)
