@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from filelode.llm import exact_dedup as exact
 from filelode.llm import packing, simhash, substring_dedup
 from filelode.llm import toxicity as tox
-from filelode.llm.common import checkpoint, ensure_checkpoint_dir, keep_documents, table
+from filelode.llm.common import checkpoint, drop_path, ensure_checkpoint_dir, keep_documents, table
 from filelode.llm.queries import tokenizer_path
 
 
@@ -83,4 +83,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{n}")
         docs = spark.read.parquet(f"{place}/{n}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    drop_path(spark, place)  # the packing has its pieces checkpointed and reads no documents any more
+    return packed
