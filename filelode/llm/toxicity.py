@@ -123,7 +123,7 @@ def fit(x: np.ndarray, y: np.ndarray, terms: np.ndarray, limits: Limits, seed: i
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine:

@@ -32,3 +32,14 @@ def test_one_batch_and_a_second(spark):
     plan = again.read().select("digest").hint("merge")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     index.drop()
+
+
+def test_an_index_in_a_folder_is_opened_again(spark, tmp_path):
+    where = str(tmp_path / "index")
+    first = DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=4, path=where)
+    exact_dedup(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), first).collect()
+    first.drop()  # the table's entry; its folder stays
+    again = DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=4, path=where)
+    got = exact_dedup(spark.createDataFrame([(5, "b"), (6, "c")], "doc_id long, text string"), again).collect()
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in got) == [(5, 2, False), (6, 6, True)]
+    again.drop()
