@@ -4,10 +4,6 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from filelode.llm import simhash  # noqa: E402
-from filelode.llm import toxicity as tox  # noqa: E402
 from tests.llm.test_packing import brute as brute_pieces  # noqa: E402
 from tests.llm.test_simhash import brute_components, brute_fingerprint  # noqa: E402
 
