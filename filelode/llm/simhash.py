@@ -125,7 +125,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) -> Dat
         pairs = sizes.where((F.col("n") == 2) & near).select("u", "v")
         last = level == len(WIDTHS) - 1
         small = sizes.where(F.col("n") > 2) if last else sizes.where((F.col("n") > 2) & (F.col("n") <= group))
-        groups = rows.join(small.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.collect_list(F.struct("fp", "node")).alias("members"))
+        # by sort and merge at every size: the keys' number grows with the rows, a broadcast would only fit small inputs
+        groups = rows.join(small.select(*keys).hint("merge"), keys, "left_semi").groupBy(*keys).agg(F.collect_list(F.struct("fp", "node")).alias("members"))
         level_links = pairs.unionByName(_stars(groups, max_bits)).distinct()
         found = level_links if found is None else found.unionByName(level_links)
         large = sizes.where(F.col("n") > group).select(*keys)
