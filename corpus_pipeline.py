@@ -48,10 +48,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id; rows without an id are left alone."""
-    kept = checkpoint(simhash.simhash_dedup(docs).where("doc_id = component_id").select("doc_id"))
     if not _unclear(docs):
-        return keep_documents(docs, kept)
-    return keep_documents(docs, kept).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+        return keep_documents(docs, checkpoint(simhash.simhash_dedup(docs).where("doc_id = component_id").select("doc_id")))
+    # rows that share an id are judged each by its own text: they are numbered in the order of their ids
+    named = docs.where("doc_id IS NOT NULL").withColumn("__digest", exact.text_digest(F.col("text")))
+    rows = checkpoint(named.orderBy("doc_id", "__digest").drop("__digest").withColumn("__row", F.monotonically_increasing_id()))
+    kept = checkpoint(simhash.simhash_dedup(rows, id_col="__row").where("__row = component_id").select("__row"))
+    return keep_documents(rows, kept, "__row").drop("__row").unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

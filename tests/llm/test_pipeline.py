@@ -87,3 +87,12 @@ def test_each_stage_takes_nulls_repeats_and_nothing(spark, sf_dir, n):
     else:
         assert len(rows) == 6
     assert stage(spark, docs.limit(0), sf_dir).collect() == []
+
+
+def test_near_dedup_keeps_unrelated_texts_of_one_id(spark, sf_dir):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(80))
+    one, two, three = text(), text(), text()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "d") for i, t in [(1, one), (1, two), (2, three), (2, three), (3, two + " ")]], COLUMNS)
+    got = corpus_pipeline.simhash_dedup(spark, docs, sf_dir)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(1, one), (1, two), (2, three)])
