@@ -54,3 +54,12 @@ def test_only_the_entry_guards_the_corpus_operators():
     for path in (top / "filelode").rglob("*.py"):
         if "llm" not in path.parts:
             assert "filelode.llm" not in path.read_text(), path
+
+
+def test_f16_gathers_only_what_is_outside_the_vocabulary(spark, tmp_path):
+    rows = [(1, k, "click") for k in range(500)] + [(1, 600, "buy"), (1, 550, "cart"), (1, 601, None), (2, 1, "view")]
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    found = __spark_entry__.queries()["f16_vocabulary_linter"](spark, str(tmp_path))
+    assert {r.user_id: r.missing for r in found.collect()} == {1: ["cart", "buy"], 2: []}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(CASE WHEN" in plan or "collect_list(if" in plan
