@@ -150,47 +150,87 @@ def most_recent(files: DataFrame) -> DataFrame:
 def size_histogram(files: DataFrame, most_bins: int = 25) -> DataFrame:
     """Positive sizes in Freedman-Diaconis bins, logarithmic if they span more than three orders of magnitude.
 
-    Quartiles are the exclusive ones (position i (n + 1) / 4): the sizes around both positions are found from counts by
-    size. Few values (under 5 different, under 20 in all) are counted one by one instead. ``bin`` counts from 0.
+    Quartiles are the exclusive ones (position i (n + 1) / 4), interpolated between the sizes at the positions around it.
+    Few values (under 5 different, under 20 in all) are counted one by one instead. ``bin`` counts from 0.
     """
-    counts = files.where("size > 0").groupBy("size").agg(F.count(F.lit(1)).alias("c"))
-    stats = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"), F.min("size").alias("lo"), F.max("size").alias("hi")).first()
-    n, kinds, lo, hi = stats["n"] or 0, stats["d"], stats["lo"], stats["hi"]
-    if not n:
-        return counts.select(F.lit(0).alias("bin"), F.col("size").cast("double").alias("lower"), F.col("size").cast("double").alias("upper"), F.col("c").alias("count")).limit(0)
+    rows = files.where("size > 0").select("size")
+    n, lo, hi = rows.agg(F.count(F.lit(1)), F.min("size"), F.max("size")).first()
     size = F.col("size").cast("double")
-    if kinds < 5 and n < 20:
+    counts = rows.groupBy("size").agg(F.count(F.lit(1)).alias("c"))
+    if not n:
+        return counts.select(F.lit(0).alias("bin"), size.alias("lower"), size.alias("upper"), F.col("c").alias("count")).limit(0)
+    if n < 20 and counts.count() < 5:
         rank = F.row_number().over(Window.orderBy("size")) - 1  # four rows at most
         return counts.select(rank.alias("bin"), size.alias("lower"), size.alias("upper"), F.col("c").alias("count"))
     bins = 1
     if n > 1:
-        q1, q3 = (_quartile(counts, n, i) for i in (1, 3))
+        q1, q3 = _quartiles(rows, n, lo, hi)
         if q3 > q1:
             bins = -int(-(hi - lo) // (2 * (q3 - q1) / n ** (1 / 3)))
     bins = max(1, min(bins, most_bins))
     if hi / lo > 1000:
         a, b = F.log10(F.lit(float(lo))), F.log10(F.lit(float(hi)))
-        edges = [F.pow(F.lit(10.0), a + F.lit(i) * (b - a) / bins) for i in range(bins + 1)]
+        edge = F.array(*(F.pow(F.lit(10.0), a + F.lit(i) * (b - a) / bins) for i in range(bins + 1)))
+        guess = (F.log10(size) - a) / (b - a) * bins
     else:
-        edges = [F.lit(lo + i * (hi - lo) / bins) for i in range(bins + 1)]
-    at = F.lit(None).cast("int")
-    for i in range(bins - 1, -1, -1):
-        inside = (size >= edges[i]) & ((size < edges[i + 1]) | ((size == edges[i + 1]) if i == bins - 1 else F.lit(False)))
-        at = F.when(inside, i).otherwise(at)
-    edge = F.array(*edges)
+        edge = F.array(*(F.lit(lo + i * (hi - lo) / bins) for i in range(bins + 1)))
+        guess = (size - lo) / max(hi - lo, 1) * bins
+    at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(guess).cast("int")))  # at most one off, by rounding
+    above = (at < bins - 1) & (size >= F.get(edge, at + 1))
+    at = F.when((at > 0) & (size < F.get(edge, at)), at - 1).when(above, at + 1).otherwise(at)
+    inside = (size >= F.get(edge, F.lit(0))) & (size <= F.get(edge, F.lit(bins)))
     return (
-        counts.select(at.alias("bin"), "c").where("bin IS NOT NULL").groupBy("bin").agg(F.sum("c").alias("count"))
+        rows.where(inside).select(at.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
         .select("bin", F.round(F.get(edge, F.col("bin")), 3).alias("lower"), F.round(F.get(edge, F.col("bin") + 1), 3).alias("upper"), "count")
     )
 
 
-def _quartile(counts: DataFrame, n: int, i: int) -> float:
-    """The exclusive ``i``-th quartile from counts by size: the values at two positions, by exact percentiles' positions."""
-    j = max(1, min(i * (n + 1) // 4, n - 1))
-    delta = i * (n + 1) - 4 * j
-    # percentile(p) reads position p * (n - 1) from 0, so whole positions give whole values
-    a, b = counts.agg(F.expr(f"percentile(size, array({j - 1}D / {n - 1}, {j}D / {n - 1}), c)").alias("p")).first()["p"]
-    return (round(a) * (4 - delta) + round(b) * delta) / 4
+def values_at(rows: DataFrame, column: str, positions: list[int], lo: int, hi: int, parts: int = 4096) -> dict[int, int]:
+    """The whole numbers at positions (from 1) of a column in order, all of whose values lie from ``lo`` to ``hi``.
+
+    Each pass counts rows in ``parts`` equal ranges of what a position can still be, all positions together: a scan with a
+    partial aggregate, nothing is sorted, and a position is known after five or six passes whatever the number of rows.
+    """
+    open_ranges, found = {(lo, hi): {p: p for p in positions}}, {}
+    while open_ranges:
+        tests = []
+        for k, (a, z) in enumerate(open_ranges):
+            width = (z - a) // parts + 1
+            inside = F.when(F.col(column).between(a, z), F.expr(f"({column} - {a}L) div {width}L"))
+            tests.append(F.struct(F.lit(k).alias("k"), inside.alias("part")))
+        tall = rows.select(F.explode(F.array(*tests)).alias("x")).select("x.*").where("part IS NOT NULL")
+        counts: dict[int, list] = {}
+        for r in sorted(tall.groupBy("k", "part").count().collect()):
+            counts.setdefault(r["k"], []).append((r["part"], r["count"]))
+        then: dict[tuple[int, int], dict[int, int]] = {}
+        for k, ((a, z), wanted) in enumerate(open_ranges.items()):
+            width = (z - a) // parts + 1
+            for position, rank in wanted.items():
+                for part, count in counts[k]:
+                    if rank <= count:
+                        break
+                    rank -= count
+                first = a + part * width
+                if width == 1:
+                    found[position] = first
+                else:
+                    then.setdefault((first, min(z, first + width - 1)), {})[position] = rank
+        open_ranges = then
+    return found
+
+
+def _quartiles(rows: DataFrame, n: int, lo: int, hi: int) -> tuple[float, float]:
+    """The exclusive first and third quartile of ``size``."""
+    places = [max(1, min(i * (n + 1) // 4, n - 1)) for i in (1, 3)]
+    at = values_at(rows, "size", sorted({p + k for p in places for k in (0, 1)}), lo, hi)
+    shares = [i * (n + 1) - 4 * p for i, p in zip((1, 3), places)]
+    q1, q3 = ((at[p] * (4 - d) + at[p + 1] * d) / 4 for p, d in zip(places, shares))
+    return q1, q3
+
+
+def timeline(files: DataFrame) -> DataFrame:
+    """A point a file: when it was modified and its name."""
+    return files.select("ordinal", F.date_format("date_modified", "yyyy-MM-dd'T'HH:mm:ss").alias("x"), F.col("name").alias("y"))
 
 
 def cache_summary(cache: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filelode.operators import validation
+from filelode.operators.records import upsert_annotations
+
 
 @dataclass(frozen=True)
 class Step:
@@ -56,6 +60,10 @@ class Pipeline:
             raise ValueError("the base step stays")
         return Pipeline((*self.steps[:i], replace(self.steps[i], active=active), *self.steps[i + 1 :]))
 
+    def run_one(self, which: int | str, files: DataFrame) -> DataFrame:
+        """One step alone, whether active or not."""
+        return Pipeline((replace(self.steps[self._at(which)], active=True),)).run(files)
+
     def run(self, files: DataFrame) -> DataFrame:
         """One row per file and active step: ``hash``, ``step``, ``schema``, ``record``, ``error``; one scan of the files."""
         results = []
@@ -71,3 +79,38 @@ class Pipeline:
                 error = F.when(record.isNull(), f"{step.name} gave no record")
             results.append(F.struct(F.lit(n).alias("step"), F.lit(step.schema).alias("schema"), record.alias("record"), error.alias("error")))
         return files.select("hash", F.explode(F.array(*results)).alias("r")).select("hash", "r.*")
+
+
+def _named(place: str) -> Callable:
+    module, _, name = place.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def registered(specs: Sequence[Mapping[str, object]]) -> Pipeline:
+    """The pipeline of a settings file: each entry names step, schema and an importable ``module:function`` for the model, and
+    may name one for what it ``allows``. A later entry of a name replaces the earlier one."""
+    pipeline = Pipeline()
+    for spec in specs:
+        if spec["schema"] not in ("file/base", *(f"open/{k}" for k in validation.SCHEMAS)) and "/" not in str(spec["schema"]):
+            raise ValueError(f"{spec['schema']} is no schema id")
+        allows = _named(str(spec["allows"])) if spec.get("allows") else None
+        step = Step(str(spec["name"]), str(spec["schema"]), _named(str(spec["model"])), allows, bool(spec.get("silent", True)), bool(spec.get("active", True)))
+        pipeline = pipeline.upsert(step)
+    return pipeline
+
+
+def annotate(files: DataFrame, annotations: DataFrame, pipeline: Pipeline, which: int | str, core: list[str]) -> DataFrame:
+    """``annotations`` with what one step of the pipeline says of ``files``; files that it fails on keep what they have."""
+    step = pipeline.steps[pipeline._at(which)]
+    made = pipeline.run_one(which, files).where("error IS NULL").select(
+        "hash", "schema", F.lit(step.name).alias("source_id"), F.lit("1").alias("version"), F.lit(None).cast("string").alias("variant"), "record"
+    )
+    return upsert_annotations(annotations, made, core)
+
+
+def annotate_by_hand(annotations: DataFrame, rows: DataFrame, schema: str, core: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``annotations`` with records given by hand (``hash``, ``source_id``, ``version``, ``variant``, ``record``) of an open
+    schema, and those that break it, with their ``errors``."""
+    judged = validation.validate(rows, schema)
+    good = judged.where("valid").select("hash", F.lit(f"open/{schema}").alias("schema"), "source_id", "version", "variant", "record")
+    return upsert_annotations(annotations, good, core), judged.where("NOT valid")

@@ -4,13 +4,16 @@ and what is done with them: lookup, upsert, flattening, privacy, oversized recor
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filelode.functions.scalars import json_size
+from filelode.operators.filters import hash_faults
 
 #: Bytes of a record, and where oversized records of a schema are cut: list field, fields of the first part.
 MOST_BYTES = 1 << 20
@@ -79,6 +82,98 @@ def scrub(records: DataFrame, personal: list[str], json_col: str = "record") ->
     return records.withColumn(json_col, F.to_json(cleaned))
 
 
+def without_personal(value: Column, kind: T.DataType, personal: frozenset[str]) -> Column:
+    """A value of any type without what its personal fields hold, however deep: null instead, of arrays an empty one."""
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: without_personal(x, kind.elementType, personal))
+    if not isinstance(kind, T.StructType):
+        return value
+    fields = []
+    for f in kind:
+        if f.name in personal:
+            kept = F.array().cast(f.dataType) if isinstance(f.dataType, T.ArrayType) else F.lit(None).cast(f.dataType)
+        else:
+            kept = without_personal(value[f.name], f.dataType, personal)
+        fields.append(kept.alias(f.name))
+    return F.when(value.isNotNull(), F.struct(*fields))
+
+
+def scrub_nested(records: DataFrame, personal: list[str], schema: str, json_col: str = "record") -> DataFrame:
+    """Like ``scrub`` for records of a known shape (``schema``, as DDL): objects and lists in them are scrubbed too."""
+    shape = T.StructType.fromDDL(schema)
+    cleaned = without_personal(F.from_json(json_col, shape), shape, frozenset(personal))
+    return records.withColumn(json_col, F.to_json(cleaned, {"ignoreNullFields": "false"}))
+
+
+def aware(value: Column, kind: T.DataType, zone: str = "UTC") -> Column:
+    """A value of any type whose times without a zone, however deep, are taken as times of ``zone``."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.convert_timezone(F.lit(zone), F.current_timezone(), value).cast("timestamp")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: aware(x, kind.elementType, zone))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda k, v: aware(v, kind.valueType, zone))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(aware(value[f.name], f.dataType, zone).alias(f.name) for f in kind)))
+    return value
+
+
+def with_aware_times(rows: DataFrame, zone: str = "UTC") -> DataFrame:
+    return rows.select(*(aware(F.col(f"`{f.name}`"), f.dataType, zone).alias(f.name) for f in rows.schema))
+
+
+# Extracted records that stand beside the base one.
+EXTRACTED = ("pdf", "ebook", "office", "mediainfo")
+
+
+def attributes(records: DataFrame, json_col: str = "record") -> DataFrame:
+    """``records`` with what a file record (JSON) says of its file: hashes, name, extension, size (0 if unknown), media type,
+    all hashes, and of each extracted kind its record and source as JSON. What is absent is null."""
+    v = F.try_parse_json(json_col)
+    top = lambda name: F.try_variant_get(v, f"$.{name}", "string").alias(name)
+    base = lambda name, kind: F.try_variant_get(v, f"$.annotations['file/base'].record.{name}", kind)
+    part = lambda name, what: F.to_json(F.try_variant_get(v, f"$.annotations['file/{name}'].{what}", "variant"))
+    return records.select(
+        "*", top("hash"), top("quick_hash"), top("validation_hash"), base("name", "string").alias("name"), base("extension", "string").alias("extension"),
+        F.coalesce(base("size", "long"), F.lit(0).cast("long")).alias("size"), base("media_type", "string").alias("media_type"),
+        base("all_hashes", "array<struct<id: string, value: string>>").alias("all_hashes"),
+        *(c for k in EXTRACTED for c in (part(k, "record").alias(k), part(k, "source").alias(f"{k}_source"))),
+    )
+
+
+def read_records(texts: DataFrame, json_col: str = "record", path_col: str = "path") -> DataFrame:
+    """File records from JSON texts: their ``attributes``, the path they were made from (else that of the text), and
+    ``faults``: what keeps a record from being a strict one. ``spark.read.text(folder, wholetext=True)`` gives the texts."""
+    v = F.try_parse_json(json_col)
+    known = attributes(texts, json_col)
+    other = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    rules = [
+        (v.isNull(), "not JSON"),
+        (v.isNotNull() & ~F.coalesce(F.col("hash").rlike(r"^[0-9a-f]{64}\z"), F.lit(False)), "no SHA-256"),
+        (v.isNotNull() & F.try_variant_get(v, "$.annotations['file/base'].record", "variant").isNull(), "no base record"),
+        (F.col("size") < 0, "negative size"),
+        (v.isNotNull() & F.col("media_type").isNull(), "no media type"),
+    ]
+    plain = F.filter(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(text)) for test, text in rules)), lambda x: x.isNotNull())
+    hashes = F.when(F.col("all_hashes").isNotNull(), hash_faults(F.col("hash"), F.col("all_hashes"), [other("quick_hash"), other("validation_hash"), other("similarity_hash")]))
+    path = F.coalesce(F.try_variant_get(v, "$.local_attributes.file_path", "string"), F.col(path_col))
+    return known.withColumn("faults", F.concat(plain, F.coalesce(hashes, F.expr("CAST(array() AS array<string>)")))).withColumn(path_col, path)
+
+
+def dump(rows: DataFrame, columns: list[str], *, exclude: tuple[str, ...] = (), aliases: dict[str, str] | None = None, nulls: bool = False) -> Column:
+    """Columns as one JSON text: without ``exclude`` ("a" or "a.b" for a field of a struct), under their aliases, and without
+    null fields unless ``nulls``."""
+    shape, names = rows.schema, aliases or {}
+    kept = []
+    for name in columns:
+        if name in exclude:
+            continue
+        inner = [e.split(".", 1)[1] for e in exclude if e.startswith(f"{name}.")]
+        column = F.col(name).dropFields(*inner) if inner and isinstance(shape[name].dataType, T.StructType) else F.col(name)
+        kept.append(column.alias(names.get(name, name)))
+    return F.to_json(F.struct(*kept), {"ignoreNullFields": str(not nulls).lower()})
+
+
 def with_privacy(annotations: DataFrame, core: list[str], private: bool) -> DataFrame:
     """Core annotations take the privacy of the request, others keep theirs."""
     return annotations.withColumn("private", F.when(F.col("schema").isin(core), F.lit(private)).otherwise(F.col("private")))
@@ -170,9 +265,82 @@ def reassemble(parts: DataFrame, key: str = "id") -> DataFrame:
     return parts.groupBy(key).agg(joined.alias("text"), (F.count(F.lit(1)) == F.max("total")).alias("complete"))
 
 
+def wrapped(records: DataFrame, most: int = MOST_BYTES, reserve: int = TEXT_RESERVE, key: str = "id") -> DataFrame:
+    """Rows ``(id, text, skeleton)`` as annotations: ``text`` and ``group``, which is null for a record that fits ``most``
+    bytes; others are split, and each part tells its group, its index and how many there are. Group ids follow from the
+    record, so a task that runs again gives the same."""
+    whole = F.col("skeleton") + json_size(F.to_json(F.struct(F.col("text").alias("t")))) - 8 <= most
+    small = records.where(whole).select(key, "text", F.lit(None).cast("struct<id: string, index: int, total: int>").alias("group"))
+    parts = split_texts(records.where(~whole).withColumnRenamed(key, "id"), most, reserve)
+    group = F.struct(F.md5(F.concat(F.lit("group "), F.col("id").cast("string"))).alias("id"), F.col("index").cast("int").alias("index"), F.col("total").cast("int").alias("total"))
+    return small.unionByName(parts.select(F.col("id").alias(key), "text", group.alias("group")))
+
+
+def unwrapped(annotations: DataFrame, key: str = "id") -> DataFrame:
+    """Annotations as ``wrapped`` gives them, groups put together again; ``complete`` is false where parts are missing."""
+    alone = annotations.where("group IS NULL").select(key, "text", F.lit(True).alias("complete"))
+    parts = annotations.where("group IS NOT NULL").select(key, "text", "group.index", "group.total")
+    return alone.unionByName(reassemble(parts, key).select(key, "text", "complete"))
+
+
+def number_chunks(items: DataFrame, key: str, order: list[str], most: int = MOST_BYTES, first: int = 0, later: int = 0) -> DataFrame:
+    """``items`` (``key``, ``order``, ``size``) with the chunk that each falls into when each key's items are put into chunks
+    in order, as ``chunk_numbers`` does, however many a key has: they stream through a task, which holds one running sum.
+
+    Chunks of a key follow from one another, so its items can't be dealt to several tasks; those of other keys can.
+    """
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: object = None
+        held = chunk = place = 0
+        for batch in batches:
+            chunks, places = [], []
+            for k, size in zip(batch[key], batch["size"]):
+                if place == 0 or k != now:
+                    now, held, chunk, place = k, first, 0, 0
+                    fresh = True
+                else:
+                    fresh = False
+                if held + size + (not fresh) > most:
+                    if fresh or later + size > most:
+                        raise ValueError(f"an item takes {size} bytes")
+                    chunk, held, fresh = chunk + 1, later, True
+                held += size + (not fresh)
+                place += 1
+                chunks.append(chunk)
+                places.append(place)
+            yield batch.assign(place=places, chunk=chunks)
+
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([*items.schema, T.StructField("place", T.LongType()), T.StructField("chunk", T.IntegerType())])
+    return items.repartition(parts, key).sortWithinPartitions(key, *order).mapInPandas(numbered, schema)
+
+
 # Caches
 
 
+def export_rows(cache: DataFrame, with_records: bool = True) -> DataFrame:
+    """Cached rows as they leave: the record (bytes, packed with zlib if ``is_compressed``) as JSON text, or an error."""
+    if not with_records:
+        return cache.drop("record", "is_compressed")
+
+    @F.pandas_udf("string")
+    def plain(data: pd.Series, packed: pd.Series) -> pd.Series:
+        def text(x: bytes | None, p: int | None) -> str | None:
+            if x is None:
+                return None
+            try:
+                found = (zlib.decompress(x) if p else x).decode("utf-8")
+                json.loads(found)
+                return found
+            except (zlib.error, UnicodeDecodeError, json.JSONDecodeError):
+                return '{"error":"Could not decode record"}'
+
+        return pd.Series([text(x, p) for x, p in zip(data, packed)], dtype=object)
+
+    return cache.withColumn("record", plain("record", "is_compressed")).drop("is_compressed")
+
+
 def upsert_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
     """A row per path: the new one where there is one."""
     return cache.join(new.select("path"), "path", "left_anti").unionByName(new)

@@ -439,6 +439,16 @@ def a7_media_types_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.panel_by(big_files(spark, sf_dir), "media_type", "total_size")
 
 
+@named("a7_extensions_by_count", _panel_sql("extension", "count(*)", "count", "extension <> ''"))
+def a7_extensions_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.panel_by(big_files(spark, sf_dir), "extension", "count")
+
+
+@named("a7_timeline", f"WITH {FILES_SQL} SELECT ordinal, strftime(date_modified, '%Y-%m-%dT%H:%M:%S') AS x, name AS y FROM files")
+def a7_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.timeline(files(spark, sf_dir))
+
+
 @named("a7_extensions_by_size", _panel_sql("extension", "sum(size)::BIGINT", "total_size", "extension <> ''"))
 def a7_extensions_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.panel_by(big_files(spark, sf_dir), "extension", "total_size")
@@ -599,12 +609,12 @@ def j6_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from filelode.plans import records  # registers the queries on nested records  # noqa: F401
+    from filelode.plans import collections, records  # register their queries  # noqa: F401
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from filelode.plans import records  # noqa: F401
+    from filelode.plans import collections, records  # noqa: F401
 
     return dict(_ORACLES)

@@ -147,17 +147,15 @@ def n3_upsert_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @named(
     "sh1_split_lists",
-    """WITH RECURSIVE t AS (SELECT conv_id, turn, (strlen(text) + 2)::BIGINT AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations),
-    w AS (SELECT conv_id, i, 0 AS chunk, 100 + size AS held FROM t WHERE i = 1 UNION ALL
-      SELECT t.conv_id, t.i, w.chunk + CASE WHEN w.held + 1 + t.size > 60000 THEN 1 ELSE 0 END, CASE WHEN w.held + 1 + t.size > 60000 THEN 50 + t.size ELSE w.held + 1 + t.size END
+    """WITH RECURSIVE t AS (SELECT conv_id, turn, (strlen(text) + 2)::BIGINT AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn, strlen(text)) AS i FROM conversations),
+    w AS (SELECT conv_id, turn, size, i, 0 AS chunk, 100 + size AS held FROM t WHERE i = 1 UNION ALL
+      SELECT t.conv_id, t.turn, t.size, t.i, w.chunk + CASE WHEN w.held + 1 + t.size > 60000 THEN 1 ELSE 0 END, CASE WHEN w.held + 1 + t.size > 60000 THEN 50 + t.size ELSE w.held + 1 + t.size END
       FROM w JOIN t ON t.conv_id = w.conv_id AND t.i = w.i + 1)
-    SELECT conv_id, list(chunk ORDER BY i) AS chunks FROM w GROUP BY conv_id""",
+    SELECT conv_id, turn, size, i AS place, chunk FROM w""",
 )
 def sh1_split_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = (F.octet_length("text") + 2).cast("long")
-    sizes = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", size.alias("s")))), lambda x: x["s"])
-    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(sizes.alias("sizes"))
-    return R.split_lists(rows.withColumns({"first": F.lit(100), "later": F.lit(50)}), most=60_000).select("conv_id", "chunks")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.octet_length("text") + 2).cast("long").alias("size"))
+    return R.number_chunks(rows, "conv_id", ["turn", "size"], most=60_000, first=100, later=50)
 
 
 @named("sh2_sh3_split_and_reassemble", "SELECT doc_id AS id, text, true AS complete FROM documents")
@@ -168,11 +166,15 @@ def sh2_sh3_split_and_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @named(
     "sh3_reassemble",
-    "SELECT conv_id AS id, string_agg(text, '' ORDER BY turn, text) AS text, count(*) = max(turn) + 1 AS complete FROM conversations GROUP BY conv_id",
+    """SELECT l_orderkey AS id, string_agg(l_returnflag || l_partkey, '' ORDER BY l_linenumber, l_returnflag || l_partkey) AS text, count(*) = max(l_linenumber) AS complete
+    FROM lineitem GROUP BY l_orderkey""",
 )
 def sh3_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("index"), "text")
-    total = parts.groupBy("id").agg((F.max("index") + 1).alias("total"))
+    """An order has few lines, as a split record has few parts."""
+    parts = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("index"), F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("text")
+    )
+    total = parts.groupBy("id").agg(F.max("index").alias("total"))
     return R.reassemble(parts.join(total, "id"))
 
 
@@ -250,13 +252,15 @@ def r7_add_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.add_tags(rows.where("p_partkey % 2 = 0").drop("p_partkey"), rows.where("p_partkey % 2 = 1")).select("p_partkey", "status")
 
 
-_MEMBERS_SQL = """m AS (SELECT DISTINCT o_custkey % 50 AS collection_id, o_orderkey AS hash FROM orders WHERE o_orderkey % 3 = 0),
-asked AS (SELECT DISTINCT o_custkey % 50 AS collection_id, o_orderkey AS hash FROM orders WHERE o_orderkey % 2 = 0)"""
+# Members are orders by customer; asked for are order lines by supplier, half of whose hashes no record has.
+_MEMBERS_SQL = """m AS (SELECT DISTINCT o_custkey % 50 AS collection_id, o_orderkey AS hash FROM orders),
+asked AS (SELECT DISTINCT l_suppkey % 50 AS collection_id, l_orderkey + l_linenumber % 2 * 1000000000 AS hash FROM lineitem)"""
 
 
 def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("collection_id"), F.col("o_orderkey").alias("hash"))
-    return rows.where("hash % 3 = 0"), rows.where("hash % 2 = 0")
+    members = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("collection_id"), F.col("o_orderkey").alias("hash"))
+    hash_ = F.col("l_orderkey") + F.col("l_linenumber") % 2 * F.lit(1_000_000_000).cast("long")
+    return members, read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("collection_id"), hash_.alias("hash"))
 
 
 @named(
@@ -339,7 +343,11 @@ def s6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@named("sk8_push", "SELECT 0 AS failed, count(*)::BIGINT AS records FROM orders")
+@named("sk8_push", "SELECT count(*) FILTER (o_orderkey % 7 = 0)::INT AS failed, count(*)::BIGINT AS records FROM orders")
 def sk8_push(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcome = catalog.push(read(spark, sf_dir, "orders").select("o_orderkey"), lambda batch: None)
+    def send(batch: list[dict]) -> None:
+        if any(r["o_orderkey"] % 7 == 0 for r in batch):
+            raise ValueError("refused")
+
+    outcome = catalog.push(read(spark, sf_dir, "orders").select("o_orderkey"), send, per_batch=1)  # so that which ones fail is known
     return outcome.agg(F.count("error").cast("int").alias("failed"), F.sum("records").alias("records"))

@@ -1,7 +1,9 @@
 """Files as rows: listings, stat rows, content hashes, media types and the base record of each file.
 
-Content is read where the rows are, in tasks, a chunk at a time, and never as a whole column: a file of any size costs a
-task one chunk of memory.
+``listing`` walks a tree in tasks: the driver only opens folders from the top down until there are some hundred to deal
+out. ``hashed`` reads files of a listing where the rows are, a chunk at a time, so a file of any size costs a task one
+chunk of memory. ``contents`` and what works on it (``media_type``, ``base_records``) hold a file's content as one value:
+they are for small files, from any store that Spark reads.
 """
 
 from __future__ import annotations
@@ -17,35 +19,65 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CHUNK = 1 << 20
-#: Files of a listing partition.
-PER_PARTITION = 10_000
+#: Folders that the driver opens at most to find some to deal out.
+OPENED = 256
+#: Bytes at the end of an archive in which its directory is looked for.
+TAIL = 1 << 20
 
-STAT = "path string, name string, size long, modified double, created double, mode int, is_dir boolean, ordinal long"
+STAT = (
+    "path string, name string, size long, modified double, created double, mode int, is_dir boolean, ordinal long, inode long, links int, accessed double"
+)
 
 
 class _Part(InputPartition):
-    def __init__(self, first: int, paths: list[str]):
-        self.first, self.paths = first, paths
+    def __init__(self, number: int, folder: str, deep: bool):
+        self.number, self.folder, self.deep = number, folder, deep
 
 
 class _StatReader(DataSourceReader):
+    """A partition is a folder: its own entries, or the whole tree below it."""
+
     def __init__(self, top: str, recursive: bool):
         self.top, self.recursive = top, recursive
 
     def partitions(self) -> list[InputPartition]:
-        if self.recursive:
-            paths = [os.path.join(d, n) for d, dirs, names in os.walk(self.top) for n in sorted(dirs) + sorted(names)]
-        else:
-            paths = [p for n in sorted(os.listdir(self.top)) if os.path.isfile(p := os.path.join(self.top, n))]
-        return [_Part(i, paths[i : i + PER_PARTITION]) for i in range(0, len(paths), PER_PARTITION)] or [_Part(0, [])]
+        if not self.recursive:
+            return [_Part(0, self.top, False)]
+        opened, waiting = [], [self.top]
+        while waiting and len(opened) < OPENED and len(waiting) < OPENED:
+            folder = waiting.pop(0)
+            opened.append(folder)
+            try:
+                with os.scandir(folder) as entries:
+                    waiting += sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
+            except OSError:
+                continue
+        return [_Part(i, f, deep) for i, (f, deep) in enumerate([*((f, False) for f in opened), *((f, True) for f in waiting)])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for i, path in enumerate(partition.paths):
+        ordinal, folders = partition.number << 33, [partition.folder]
+        while folders:
             try:
-                s = os.lstat(path)
-                yield path, os.path.basename(path), s.st_size, s.st_mtime, s.st_ctime, stat.S_IMODE(s.st_mode), stat.S_ISDIR(s.st_mode), partition.first + i
-            except OSError:  # counted as a file that could not be read
-                yield path, os.path.basename(path), None, None, None, None, False, partition.first + i
+                names = sorted(os.listdir(folder := folders.pop()))
+            except OSError:
+                continue
+            below = []
+            for name in names:
+                path = os.path.join(folder, name)
+                try:
+                    s = os.lstat(path)
+                    is_dir = stat.S_ISDIR(s.st_mode)
+                    if not self.recursive and not os.path.isfile(path):
+                        continue
+                    yield path, name, s.st_size, s.st_mtime, s.st_ctime, stat.S_IMODE(s.st_mode), is_dir, ordinal, s.st_ino, s.st_nlink, s.st_atime
+                except OSError:  # counted as a file that could not be read
+                    is_dir = False
+                    yield path, name, None, None, None, None, False, ordinal, None, None, None
+                ordinal += 1
+                if is_dir:
+                    below.append(path)
+            if partition.deep:
+                folders += reversed(below)
 
 
 class FileStat(DataSource):
@@ -142,12 +174,15 @@ def extension(name: Column) -> Column:
 
 
 def media_type(content: Column, name: Column) -> Column:
-    """From the first bytes, office containers by a member's name in the archive, then from the extension."""
-    ext, raw = extension(name), F.hex(F.substring(content, 1, 40))
+    """From the first bytes, office containers by a member's name in the archive, then from the extension.
+
+    Members are looked for at an archive's beginning and in the directory at its end, byte by byte, nothing between.
+    """
+    ext, raw = extension(name), F.hex(F.substring(content, 1, 4))
     out = F.when(F.octet_length(content) == 0, "application/x-empty")
-    archive = F.hex(content).contains
+    ends = F.concat(F.substring(content, 1, 256), F.substring(content, -TAIL, TAIL))
     for e, (member, kind) in OFFICE.items():
-        out = out.when(raw.startswith("504B0304") & (ext == e) & archive(member.encode().hex().upper()), kind)
+        out = out.when((raw == "504B0304") & (ext == e) & F.contains(ends, F.lit(member.encode())), kind)
     for magic, at, kind in SIGNATURES:
         out = out.when(F.hex(F.substring(content, at + 1, len(magic) // 2)) == magic, kind)
     table = F.create_map(*(F.lit(x) for pair in BY_EXTENSION.items() for x in pair))
@@ -155,6 +190,23 @@ def media_type(content: Column, name: Column) -> Column:
     return out.otherwise(F.coalesce(F.try_element_at(table, ext), F.when(text, "text/plain"), F.lit("application/octet-stream")))
 
 
+def with_local_attributes(results: DataFrame, stats: DataFrame) -> DataFrame:
+    """``results`` (``path``) with what the file system says of each file (a row of ``listing``) in ``local_attributes``."""
+    about = F.struct(F.col("path").alias("file_path"), "mode", "inode", "links", "modified", "created", "accessed")
+    return results.join(stats.select("path", about.alias("local_attributes")), "path", "left")
+
+
+def scan(found: DataFrame, limit: int | None = None) -> DataFrame:
+    """The base record of each row of ``contents``, and ``error``, a text, where there is none; a scan never stops at a file.
+
+    More files than ``limit`` are an error before anything is read.
+    """
+    if limit is not None and (n := found.select("path").limit(limit + 1).count()) > limit:
+        raise ValueError(f"more than {limit} files ({n} counted)")
+    records = base_records(found)
+    return records.withColumn("error", F.when(F.col("hash").isNull(), F.concat(F.lit("could not read "), F.col("path"))))
+
+
 def base_records(found: DataFrame) -> DataFrame:
     """The base record of each row of ``contents``: hash, name, extension, size, media type and its head."""
     name = F.element_at(F.split("path", "/"), -1)
