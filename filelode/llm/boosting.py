@@ -29,12 +29,18 @@ class BoostedTrees:
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 1.0) -> BoostedTrees:
-    """Newton boosting of the logistic loss; a level's best splits come from histograms of gradients."""
+    """Newton boosting of the logistic loss; a level's best splits come from histograms of gradients.
+
+    The histograms of features with one cut are a matrix product; the others are counted bin by bin.
+    """
     model = BoostedTrees(depth, float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))))
     n, width = x.shape
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(width)]
     binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], 1)  # bin b: x <= cuts[b]
-    flat = binned + np.arange(width)[None, :] * bins
+    two = np.array([len(c) == 1 for c in cuts])
+    several = np.flatnonzero(~two)
+    low = (binned[:, two] == 0).astype(np.float64)
+    flat = binned[:, several] + np.arange(len(several))[None, :] * bins
     logit = np.full(n, model.bias)
     inner = (1 << depth) - 1
     for _ in range(trees):
@@ -44,10 +50,17 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
         node = np.zeros(n, np.int64)
         for level in range(depth):
             first, count = (1 << level) - 1, 1 << level
-            cell = ((node - first)[:, None] * (width * bins) + flat).ravel()
-            shape = (count, width, bins)
-            gs = np.bincount(cell, np.repeat(g, width), count * width * bins).reshape(shape).cumsum(2)
-            hs = np.bincount(cell, np.repeat(h, width), count * width * bins).reshape(shape).cumsum(2)
+            cell = ((node - first)[:, None] * (len(several) * bins) + flat).ravel()
+            in_node = np.zeros((n, count))
+            in_node[np.arange(n), node - first] = 1
+
+            def sums(weight: np.ndarray) -> np.ndarray:
+                out = np.repeat(np.bincount(node - first, weight, count), width * bins).reshape(count, width, bins)
+                out[:, two, 0] = (in_node * weight[:, None]).T @ low
+                out[:, several] = np.bincount(cell, np.repeat(weight, len(several)), count * len(several) * bins).reshape(count, len(several), bins).cumsum(2)
+                return out
+
+            gs, hs = sums(g), sums(h)
             total_g, total_h = gs[:, :1, -1:], hs[:, :1, -1:]
             gain = gs**2 / (hs + ridge) + (total_g - gs) ** 2 / (total_h - hs + ridge) - total_g**2 / (total_h + ridge)
             for f, c in enumerate(cuts):

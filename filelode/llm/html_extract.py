@@ -27,6 +27,8 @@ from filelode.llm import boosting, html_dom
 
 #: Invented pages to train on.
 PAGES = 600
+#: Characters of pages that are looked at together, and 256 pages at most.
+AT_ONCE = 1 << 21
 #: Stands before main text in invented pages.
 MARK = "\x01"
 
@@ -286,8 +288,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            sizes = np.cumsum(np.array([0 if h is None else len(h) for h in whole.column(2).to_pylist()], np.int64) + AT_ONCE // 256)
+            cuts = np.flatnonzero(np.diff(sizes // AT_ONCE, prepend=-1))
+            for at, stop in zip(cuts.tolist(), [*cuts[1:].tolist(), whole.num_rows]):
+                batch = whole.slice(at, stop - at)
                 texts = extract_texts(batch.column(2).to_pylist(), model)
                 sizes = pa.array([len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])

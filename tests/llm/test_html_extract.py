@@ -1,6 +1,12 @@
+import html
 import itertools
+import os
+import re
+import time
 
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 
 from filelode.llm import boosting, html_dom, html_extract
 
@@ -59,3 +65,38 @@ def test_whole_operator(spark):
     assert [g for g in got if g[0] != 6] == [(0, "u5", want, len(want)), (1, "u1", want, len(want)), (1, "u1", want, len(want)), (2, "", "", 0), (3, "u3", "", 0)]
     assert [g[3] for g in got if g[0] == 6][0] > 300_000
     assert html_extract.extract(df.limit(0)).collect() == []
+
+
+def test_stray_quotes_and_formulas():
+    model = html_extract.trained()
+    pages = [
+        "<article><p data-x=don't>Hello there</p><p>second one</p><p>it's me</p></article>",
+        "<article><p>Energy <math>E=m</math> holds</p></article>",
+        "<article><p title='never closed>one</p><p>two</p></article>",
+        '<article><p class="a" title="1 > 0">three</p></article>',
+    ]
+    assert html_extract.extract_texts(pages, model) == ["Hello there second one it's me", "Energy E=m holds", "one two", "three"]
+
+
+@pytest.mark.parametrize("source", ['<a "' * 250_000, "<div>" * 200_000, "<div>" * 8000 + "</p>" * 8000, "<li><ul>" + "<div>" * 8000 + "<li></li>" * 20_000, "<svg>" * 100_000, "<a x='" * 99_999, "<!-- " * 200_000])
+def test_hostile_pages_take_linear_time(source):
+    began = time.process_time()
+    html_dom.read(source)
+    assert time.process_time() - began < 4
+
+
+PAGES = os.environ.get("TEST_PAGES", "/root/testdata/sf0.01/pages.parquet")
+
+
+@pytest.mark.skipif(not os.path.exists(PAGES), reason="no test tables")
+def test_pages_against_their_article_elements():
+    """The article element of each page, its tags dropped by plain patterns."""
+    rows = pq.read_table(PAGES).to_pylist()
+    got = html_extract.extract_texts([r["html"] for r in rows], html_extract.trained())
+    want = []
+    for r in rows:
+        inner = re.search(r"<article\b[^>]*>(.*?)</article>", r["html"], re.S)[1]
+        inner = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", inner, flags=re.S)
+        inner = re.sub(r"</?(?:p|div|h\d|li|ul|ol|br|section|blockquote|table|tr|td)\b[^>]*>", " ", inner)
+        want.append(" ".join(html.unescape(re.sub(r"<[^>]+>", "", inner)).split()))
+    assert sum(a == b for a, b in zip(got, want)) >= 0.99 * len(want)
