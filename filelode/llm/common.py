@@ -37,10 +37,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate rows, through Hadoop's file system, wherever it is."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    system, where = _folder(spark, path)
+    system.delete(where, True)
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, wherever it is; none if there is no such folder."""
+    system, where = _folder(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
+
+
+def make_file(spark: SparkSession, path: str) -> None:
+    """An empty file, with the folders above it."""
+    system, where = _folder(spark, path)
+    system.createNewFile(where)
 
 
 def give_back() -> None:

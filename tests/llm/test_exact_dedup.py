@@ -2,6 +2,8 @@ import hashlib
 import re
 import uuid
 
+import pytest
+
 from filelode.llm.exact_dedup import DigestIndex, exact_dedup
 
 
@@ -43,3 +45,43 @@ def test_an_index_in_a_folder_is_opened_again(spark, tmp_path):
     got = exact_dedup(spark.createDataFrame([(5, "b"), (6, "c")], "doc_id long, text string"), again).collect()
     assert sorted((r.doc_id, r.keep_id, r.kept) for r in got) == [(5, 2, False), (6, 6, True)]
     again.drop()
+
+
+def test_an_index_keeps_its_number_of_buckets(spark, tmp_path):
+    """Opened under other settings, by its folder and by its name, an index answers as it was written."""
+    rows = spark.range(1000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    where = str(tmp_path / "index")
+    first = DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=8, path=where)
+    exact_dedup(rows, first).collect()
+    for buckets in (4, 16):
+        again = DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=buckets, path=where)
+        assert again.buckets == 8
+        later = exact_dedup(rows.selectExpr("doc_id + 5000 AS doc_id", "text"), again).collect()
+        assert not any(r.kept for r in later) and again.read().count() == 1000
+        again.drop()
+    assert DigestIndex(spark, first.name, buckets=3).buckets == 8
+    first.drop()
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "part-0.parquet").write_bytes(b"x")
+    with pytest.raises(ValueError):
+        DigestIndex(spark, f"t_{uuid.uuid4().hex}", path=str(tmp_path / "other"))
+
+
+def test_a_batch_run_again_gets_the_same_answers(spark):
+    rows = [(5, "a  b"), (2, "a\tb"), (3, "c"), (9, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=4)
+    once, twice = (sorted(map(tuple, exact_dedup(df, index).collect())) for _ in range(2))
+    assert once == twice and index.read().count() == 3
+    index.drop()
+
+
+def test_batches_of_one_table_give_the_answers_of_one_batch(spark):
+    rows = [(k, f"t{k % 7}  x") for k in range(40)] + [(None, "t3 x"), (None, "alone"), (None, None), (99, ""), (5, "t6 x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for batches in (1, 2, 3):
+        index = DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=4)
+        got = sorted((tuple(r) for r in exact_dedup(df, index, batches=batches).collect()), key=str)
+        want = [r if r[1] is not None else (*r[:3], True, r[4]) for r in brute(rows)]
+        assert got == sorted(want, key=str)
+        index.drop()
