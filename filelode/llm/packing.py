@@ -1,11 +1,12 @@
 """Best-fit packing of tokenised documents into sequences of fixed capacity, by hierarchical residual packing.
 
 Each partition packs its own pieces: longest first, each into the fullest sequence that still takes it. Sequences with
-at most ``TOLERANCE`` free tokens are emitted; the others become items of the next round, where partitions are merged
-(fewer of them, without a shuffle) and best-fit again. Rounds end when one partition did the last merge or a round
-joined nothing; the sequences that are left are emitted as they are. The number of partitions of a round follows the
-number of items, ``ITEMS`` each at most, so no task gathers an unbounded rest. A round holds lengths and places of
-pieces, never tokens.
+at most ``TOLERANCE`` free tokens are emitted, and those that not even the smallest item fits into; the others become
+items of the next round, where partitions are merged (half as many, without a shuffle) and best-fit again. There are
+never fewer partitions than ``ITEMS`` each make, so no task gathers an unbounded rest: once that number is reached the
+items are dealt anew instead, so that small ones meet large ones of other partitions, for as long as that joins
+``WORTH`` of them. Rounds end when one partition did the last merge or nothing is joined; the sequences that are left are
+emitted as they are. A round holds lengths and places of pieces, never tokens.
 
 Defined cases: a null text is empty and makes one piece, the end token alone. Of a document longer than the capacity
 the first piece takes the remainder and the others are full. Repeated rows make pieces of their own. A row with a null
@@ -32,6 +33,8 @@ END = 0
 TOLERANCE = 4
 #: Items that a task of a later round gets at most, on average.
 ITEMS = 100_000
+#: Share of the items that a round of dealing anew must join for another one.
+WORTH = 0.005
 
 MEMBER = "struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint, offset: bigint>"
 BIN = f"used int, members array<{MEMBER}>"
@@ -147,19 +150,25 @@ def pack(found: DataFrame, capacity: int = CAPACITY, tolerance: int = TOLERANCE,
     found = checkpoint(found)  # else each task has two Python workers, and both come to hold an encoder
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
     bins = checkpoint(_round(found.select(F.col("length").cast("int").alias("used"), F.array(member).alias("members")), capacity))
-    full = F.col("used") >= capacity - tolerance
-    done = bins.where(full)
-    rest = bins.where(~full)
-    left, parts = rest.count(), rest.rdd.getNumPartitions()
+    done, rest = [bins.where(F.col("used") >= capacity - tolerance)], bins.where(F.col("used") < capacity - tolerance)
+    left, least, parts = *rest.agg(F.count(F.lit(1)), F.min("used")).first(), rest.rdd.getNumPartitions()
     while left > 1 and parts > 1:
-        parts = max(1, min(parts // 2, math.ceil(left / items)))
-        merged = checkpoint(_round(rest.coalesce(parts), capacity))
-        done, rest = done.unionByName(merged.where(full)), merged.where(~full)
-        now = rest.count()
-        if merged.count() == left:
+        fewest = math.ceil(left / items)
+        dealt = parts <= fewest
+        parts = max(parts // 2, fewest)
+        full = (F.col("used") >= capacity - tolerance) | (F.col("used") + least > capacity)
+        done.append(rest.where(full))
+        rest = rest.where(~full)
+        merged = checkpoint(_round(rest.repartition(parts) if dealt else rest.coalesce(parts), capacity))
+        before = rest.count()
+        rest = merged
+        now, least = rest.agg(F.count(F.lit(1)), F.min("used")).first()
+        if before - now <= (WORTH * before if dealt else 0):
             break
         left = now
-    numbered = done.unionByName(rest).withColumn("sequence_id", F.monotonically_increasing_id())
+    for more in done:
+        rest = rest.unionByName(more)
+    numbered = rest.withColumn("sequence_id", F.monotonically_increasing_id())
     return numbered.select("sequence_id", F.explode("members").alias("m")).select(
         "m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset"
     )

@@ -62,3 +62,23 @@ def test_items_that_never_fit_together_end(spark):
     df = spark.createDataFrame([(i, 0, 0, 100, 0) for i in range(50)], "doc_id long, piece int, start long, length long, ids_crc32 long")
     rows = packing.pack(df.repartition(8), capacity=128, items=10).collect()
     assert len({r.sequence_id for r in rows}) == 50
+
+
+def test_large_items_and_a_few_small_ones(spark, monkeypatch):
+    """Items over half the capacity never join; the few small ones must still find room, and no task gets all that is left."""
+    rng = random.Random(4)
+    sizes = [rng.randint(520, 1000) for _ in range(3000)] + [rng.randint(20, 60) for _ in range(60)]
+    df = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    seen, plain = [], packing._round
+
+    def counted(bins, capacity):
+        seen.append(max(bins.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect(), default=0))
+        return plain(bins, capacity)
+
+    monkeypatch.setattr(packing, "_round", counted)
+    rows = packing.pack(df.repartition(16), capacity=1024, items=300).collect()
+    held = defaultdict(int)
+    for r in rows:
+        held[r.sequence_id] += r.length
+    assert len(rows) == len(sizes) and max(held.values()) <= 1024
+    assert len(held) <= 3000 + 3 and max(seen) <= 450
