@@ -15,6 +15,7 @@ import itertools
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -45,6 +46,32 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(more)) for b in range(256)]
 
 
+# Unicode 16 added these letters and digits (first and last code points). The library splits by Unicode 16,
+# Python knows 15.1 and the pattern engine a later one.
+ADDED_IN_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C),
+    (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+)
+# Capitals that Python's Unicode doesn't know, and what the library makes of them in lower case.
+LOWER = (
+    {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+    | {0x10D50 + i: 0x10D70 + i for i in range(22)}
+    | {0x16EA0 + i: 0x16EBB + i for i in range(25)}
+)
+NEW_CAPITALS = re.compile("[" + "".join(map(chr, LOWER)) + "]")
+
+
+@lru_cache(maxsize=1)
+def newer_letters() -> dict[int, int]:
+    """Code points that the pattern engine takes for letters or digits and the library doesn't know, to one that neither knows."""
+    unknown = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    known = set(map(ord, regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, unknown)))))
+    blank = next(c for c in unknown if not regex.match(r"[^\p{Cn}]", chr(c)))
+    return dict.fromkeys(known.difference(*(range(a, z + 1) for a, z in ADDED_IN_16)), blank)
+
+
 class PairTable:
     """Pair of symbol ids to (rank, merged id), by open addressing in arrays so that many pairs are looked up at once."""
 
@@ -82,49 +109,58 @@ class PairTable:
         return rank, merged
 
 
-def merge_one(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """The merges of one piece, with a segment tree in a list."""
+def merge_one(symbols: list[int] | np.ndarray, table: PairTable, pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """The merges of one piece of any length, with its segment tree in an array of integers.
+
+    A leaf is the rank of the pair that starts there, times the size of the tree, plus its place.
+    """
     n = len(symbols)
     if n < 2:
-        return symbols
+        return list(symbols)
     size = 1 << (n - 1).bit_length()
-    none = (1 << 60, 0)
-    tree = [none] * (2 * size)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    symbols = list(symbols)
-
-    def leaf(i: int) -> tuple[int, int]:
-        j = after[i]
-        pair = pairs.get((symbols[i], symbols[j])) if j < n else None
-        return (pair[0], i) if pair else none
-
-    def put(i: int, value: tuple[int, int]) -> None:
+    first = np.asarray(symbols, np.int64)
+    none = LAST_RANK * size
+    leaves = np.full(size, none, np.int64)
+    rank, _ = table.find(first[:-1], first[1:])
+    leaves[: n - 1] = np.where(rank < NO_PAIR, rank * size + np.arange(n - 1), none)
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+    tree = array("q", np.concatenate([[none], *levels[::-1]]).astype("<i8").tobytes())
+    after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+    held = array("i", first.astype("<i4").tobytes())
+    alive = bytearray(b"\1") * n
+
+    def put(i: int, value: int) -> None:
         i += size
         tree[i] = value
         while i > 1:
+            beside = tree[i ^ 1]
+            if beside < value:
+                value = beside
             i >>= 1
-            least = min(tree[2 * i], tree[2 * i + 1])
-            if tree[i] == least:
+            if tree[i] == value:
                 break
-            tree[i] = least
-
-    tree[size : size + n] = [leaf(i) for i in range(n)]
-    for i in range(size - 1, 0, -1):
-        tree[i] = min(tree[2 * i], tree[2 * i + 1])
-    alive = [True] * n
-    while tree[1] != none:
-        i = tree[1][1]
+            tree[i] = value
+
+    def leaf(i: int) -> int:
         j = after[i]
-        symbols[i] = pairs[symbols[i], symbols[j]][1]
-        alive[j] = False
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
+        pair = pairs.get((held[i], held[j])) if j < n else None
+        return pair[0] * size + i if pair else none
+
+    while tree[1] < none:
+        i = tree[1] & (size - 1)
+        j = after[i]
+        held[i] = pairs[held[i], held[j]][1]
+        alive[j] = 0
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
         put(j, none)
         put(i, leaf(i))
         if before[i] >= 0:
             put(before[i], leaf(before[i]))
-    return [s for s, a in zip(symbols, alive) if a]
+    return np.frombuffer(held, np.int32)[np.frombuffer(alive, np.uint8) > 0].tolist()
 
 
 def merge_many(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
@@ -227,23 +263,33 @@ class Bpe:
         self.known: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
+    def found(self, text: str) -> list[str]:
+        """The pieces of a normalised text. Letters and digits newer than the library's Unicode count as what it takes them
+        for, code points without a character."""
+        newer = newer_letters()
+        if not newer or newer.keys().isdisjoint(map(ord, set(text))):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(newer))]
+
     def normalized(self, text: str) -> str:
         if self.nfc:
             text = unicodedata.normalize("NFC", text)
         if self.lower:  # letter by letter: a capital sigma at a word's end is no exception
             text = text.replace("Σ", "σ").lower()
+            if NEW_CAPITALS.search(text):
+                text = text.translate(LOWER)
         return text
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text in order; an added token is a piece that starts with U+FFFF twice."""
         if self.split_added is None:
-            return self.pattern.findall(self.normalized(text))
+            return self.found(self.normalized(text))
         out: list[str] = []
         for n, part in enumerate(self.split_added.split(text)):
             if n % 2:
                 out.append("￿￿" + part)
             elif part:
-                out += self.pattern.findall(self.normalized(part))
+                out += self.found(self.normalized(part))
         return out
 
     def merged(self, pieces: list[str]) -> list[bytes]:
@@ -253,8 +299,8 @@ class Bpe:
         for k, piece in enumerate(pieces):
             data = piece.encode("utf-8", "replace")
             if len(data) > SHORT:
-                symbols = [*self.first[np.frombuffer(data[:-1], np.uint8)].tolist(), int(self.last[data[-1]])]
-                out[k] = np.array(merge_one(symbols, self.pairs), "<u4").tobytes()
+                symbols = np.append(self.first[np.frombuffer(data[:-1], np.uint8)], self.last[data[-1]])
+                out[k] = np.array(merge_one(symbols, self.table, self.pairs), "<u4").tobytes()
             else:
                 places, words = short.setdefault((len(data) - 1).bit_length(), ([], []))
                 places.append(k)
@@ -322,7 +368,7 @@ class Bpe:
                 if chunk[:-1] not in self.chunks:
                     words.add(chunk[:-1])
             else:
-                odd[chunk] = self.pattern.findall(space + chunk)
+                odd[chunk] = self.found(space + chunk)
         self.learn({*SIGNS, *(p for found in odd.values() for p in found)})
         of = self.known.__getitem__
         self.merge_words(list(words), space)
@@ -368,7 +414,7 @@ class Bpe:
             elif self.spaces_vanish:
                 waiting.append(([], parts))
             else:
-                waiting.append((self.pattern.findall(parts.pop(0)), parts))
+                waiting.append((self.found(parts.pop(0)), parts))
             held += len(text)
             if held > at_once:
                 yield from flush()

@@ -1,9 +1,11 @@
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from filelode.llm import bpe, bpe_columns
@@ -41,7 +43,27 @@ def test_batched_trees_and_single_trees_agree(name):
     for word in words:
         data = word.encode()
         symbols = [*ours.first[np.frombuffer(data[:-1], np.uint8)].tolist(), int(ours.last[data[-1]])]
-        assert np.frombuffer(ours.known[word], "<u4").tolist() == bpe.merge_one(symbols, ours.pairs)
+        assert np.frombuffer(ours.known[word], "<u4").tolist() == bpe.merge_one(symbols, ours.table, ours.pairs)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_every_letter_on_which_unicode_versions_differ(name):
+    """All letters and digits that the pattern engine knows and Python's Unicode doesn't, and every 97th of all code points."""
+    path = public_tokenizers.path(name)
+    library, ours = Tokenizer.from_file(path), bpe.Bpe(path)
+    unknown = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    points = list(map(ord, regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, unknown))))) + [c for c in range(0, 0x110000, 97) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}b {chr(c)} 1{chr(c)}2 .{chr(c)}" for c in points]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    assert [hex(c) for c, ids, w in zip(points, ours.encode_batch(texts), want) if ids.tolist() != w.ids] == []
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_a_long_piece_without_a_split(name):
+    path = public_tokenizers.path(name)
+    library, ours = Tokenizer.from_file(path), bpe.Bpe(path)
+    for text in ("ab" * 30_000, "thequickbrownfox" * 4_000, "é" * 20_000, "x" * 70_001):
+        assert ours.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_columns(spark):
