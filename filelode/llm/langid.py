@@ -1,12 +1,17 @@
 """Language identification by cross-parsing entropy.
 
-Of each language's labelled text a bounded sample is turned into a suffix automaton, the smallest machine that reads
-exactly the substrings of the sample. A text is parsed against a machine greedily: a phrase is the longest match, the
-next begins where it ended. The fewer phrases a language needs, each weighed with the logarithm of its sample's length
-(what naming a place in the sample costs), the nearer the text is to it; the cheapest language wins. Texts are parsed in
-blocks of ``BLOCK`` symbols, from first to last, side by side, one table lookup a symbol and language.
+Of each language's labelled text a bounded sample of whole rows is turned into a suffix automaton, the smallest machine
+that reads exactly the substrings of the sample. A text is parsed against a machine greedily: a phrase is the longest
+match, the next begins where it ended. The fewer phrases a language needs, each weighed with the logarithm of its sample's
+length (what naming a place in the sample costs), the nearer the text is to it; the cheapest language wins.
 
-Symbols are lower-case letters; a run of anything else is one space. Letters that no sample has end a phrase.
+Texts are parsed whole, in blocks of ``BLOCK`` symbols side by side: first as if each block began a phrase, then again
+from the state in which the block before it ended, until the parse runs as it did before, which it mostly does after a few
+phrases. So the phrases are those of one parse from the first symbol to the last.
+
+Symbols are lower-case letters, as many as the samples have; a run of anything else is one space. A machine's moves stand
+in a hash table by state and symbol, so alphabets of thousands of letters cost no more than small ones. Letters that no
+sample has end a phrase.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. Rows with a null label are predicted but
 never learned from, and a null id is learned from like another. Without a labelled row of any language everything is
@@ -26,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 512
+#: Symbols of a text that are parsed at a time.
+SEGMENT = 1 << 22
 UNDETERMINED = "und"
 #: How sharply the score follows the gap in bits a symbol.
 SHARPNESS = 0.1
@@ -33,11 +40,11 @@ SHARPNESS = 0.1
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the training for each language: labelled rows (expected), letters drawn from each, symbols told apart."""
+    """Bounds of the training for each language: labelled rows drawn (expected), and letters, after which no more of them
+    are taken. A row that is taken is taken whole, so the last one may exceed the bound."""
 
-    rows: int = 128
-    letters: int = 256
-    symbols: int = 250
+    rows: int = 64
+    letters: int = 60_000
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -70,45 +77,71 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-class Parser:
-    """The machines of all languages in one table.
+class Machine:
+    """The moves of a suffix automaton by state and symbol, by open addressing; ``stop`` is a symbol that is never read."""
+
+    def __init__(self, moves: list[dict[int, int]], width: int, stop: int):
+        self.width, self.between = width, len(moves)  # between: where a text starts and an unread letter leads
+        edges = [(state * width + c, to) for state, next_of in enumerate(moves) for c, to in next_of.items() if c != stop]
+        keys, to = (np.array(x, np.int64) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2
+        self.bits = max(10, (2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.to = np.full(1 << self.bits, -1, np.int32)
+        slot, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == -1]
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.to[slot[put]] = keys[put], to[put]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+        self.fresh = np.full(width, self.between, np.int32)  # where a symbol leads that begins a phrase
+        for c, state in moves[0].items():
+            if c != stop:
+                self.fresh[c] = state
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and whether a phrase ended so that the symbol began one."""
+        key = state * np.int64(self.width) + symbol
+        slot = self._home(key)
+        held = self.keys.take(slot)
+        to = self.to.take(slot)
+        miss = held != key
+        ended = miss & (held == -1)
+        left = np.flatnonzero(miss & ~ended)
+        while len(left):
+            at = (slot[left] + 1) & (len(self.keys) - 1)
+            slot[left] = at
+            held = self.keys[at]
+            hit, none = held == key[left], held == -1
+            to[left[hit]] = self.to[at[hit]]
+            ended[left[none]] = True
+            left = left[~hit & ~none]
+        np.copyto(to, self.fresh.take(symbol), where=ended)
+        return to, ended
 
-    A cell holds the next state's row, doubled; the lowest bit tells that the match ended and the symbol began a phrase.
-    """
 
-    def __init__(self, samples: dict[str, list[str]], limits: Limits):
+class Parser:
+    """The machines of all languages, and the symbols they share: 0 is space, the last one any letter that no sample has."""
+
+    def __init__(self, samples: dict[str, list[str]], limits: Limits = Limits()):
         self.langs = sorted(samples)
-        counts: dict[str, int] = {}
-        for texts in samples.values():
-            for c in "".join(texts).lower():
-                if c.isalpha():
-                    counts[c] = counts.get(c, 0) + 1
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[: limits.symbols]
-        self.width = len(letters) + 2  # 0: space, last: any other letter
-        self.symbol_of = np.zeros(0x110000, np.uint8)
+        letters = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
+        self.width = len(letters) + 2
+        self.symbol_of = np.zeros(0x110000, np.int32)
         self.symbol_of[[c for c in range(0x110000) if chr(c).isalpha()]] = self.width - 1
         for i, c in enumerate(letters):
             self.symbol_of[ord(c)] = i + 1
-        tables, self.starts, self.weights, at = [], [], [], 0
+        self.machines, self.weights = [], []
         for lang in self.langs:
             joined: list[int] = []
             for text in samples[lang]:
                 joined += self.symbols(text).tolist() + [self.width - 1]  # matches nothing
-            moves = suffix_automaton(joined)
-            table = np.full((len(moves), self.width), -1, np.int64)
-            for state, next_of in enumerate(moves):
-                for c, to in next_of.items():
-                    if c != self.width - 1:
-                        table[state, c] = to
-            between = len(moves)  # where a text starts and an unread letter leads: whatever comes begins a phrase
-            fresh = np.where(table[0] >= 0, table[0], between)
-            table = np.vstack([table, np.full((1, self.width), -1, np.int64)])
-            rows = np.where(table >= 0, table, fresh[None, :]) * self.width + at
-            tables.append((2 * rows + (table < 0)).astype(np.int32).ravel())
-            self.starts.append(at + between * self.width)
+            self.machines.append(Machine(suffix_automaton(joined), self.width, self.width - 1))
             self.weights.append(math.log2(len(joined) + 2))
-            at += len(table) * self.width
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def symbols(self, text: str) -> np.ndarray:
         found = self.symbol_of[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
@@ -118,33 +151,63 @@ class Parser:
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that each text (as symbols) needs in each language."""
-        owners, blocks = [], []
-        for i, text in enumerate(texts):
-            for at in range(0, len(text), BLOCK):
-                owners.append(i)
-                blocks.append(text[at : at + BLOCK])
         out = np.zeros((len(self.langs), len(texts)), np.int64)
-        if not blocks:
-            return out
-        sizes = np.array([len(b) for b in blocks])
-        order = np.argsort(-sizes, kind="stable")
-        grid = np.zeros((len(blocks), BLOCK), np.uint8)
-        for row, k in enumerate(order):
-            grid[row, : sizes[k]] = blocks[k]
-        grid = np.ascontiguousarray(grid.T)
-        active = np.searchsorted(-sizes[order], -np.arange(BLOCK), side="left")  # rows longer than a place
-        for n, start in enumerate(self.starts):
-            state = np.full(len(blocks), start, np.int32)
-            count = np.zeros(len(blocks), np.int32)
+        state = [np.full(len(texts), m.between, np.int32) for m in self.machines]
+        for at in range(0, max(map(len, texts), default=0), SEGMENT):
+            live = np.array([i for i, t in enumerate(texts) if len(t) > at], np.int64)
+            parts = [texts[i][at : at + SEGMENT] for i in live]
+            for n, (counts, last) in enumerate(self._parse(parts, [s[live] for s in state])):
+                out[n, live] += counts
+                state[n][live] = last
+        return out
+
+    def _parse(self, texts: list[np.ndarray], into: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each language the phrases that begin in each text, from the states in which they are entered, and the last states."""
+        ends = np.cumsum([-(-len(t) // BLOCK) for t in texts])
+        first = np.append(0, ends[:-1])
+        sizes = np.concatenate([np.minimum(BLOCK, len(t) - np.arange(0, len(t), BLOCK)) for t in texts])
+        owner = np.repeat(np.arange(len(texts)), ends - first)
+        order = np.argsort(-sizes, kind="stable")  # longest first
+        row = np.empty(len(order), np.int64)
+        row[order] = np.arange(len(order))
+        grid = np.zeros((BLOCK, len(order)), np.int32)
+        for t, a, z in zip(texts, first.tolist(), ends.tolist()):
+            padded = np.zeros((z - a) * BLOCK, np.int32)
+            padded[: len(t)] = t
+            grid[:, row[a:z]] = padded.reshape(z - a, BLOCK).T
+        size = sizes[order]
+        later = np.flatnonzero(np.concatenate([[False], owner[1:] == owner[:-1]]))
+        before, later = row[later - 1], row[later]
+        for machine, entered in zip(self.machines, into):
+            states = np.zeros((BLOCK + 1, len(order)), np.int32)
+            ended = np.zeros((BLOCK, len(order)), bool)
+            came = np.full(len(order), machine.between, np.int32)
+            came[row[first]] = entered
+            states[0] = came
             for at in range(BLOCK):
-                some = active[at]
+                some = int(np.searchsorted(-size, -at, side="left"))  # rows longer than a place
                 if not some:
                     break
-                cell = self.table.take(state[:some] + grid[at, :some])
-                count[:some] += cell & 1
-                np.right_shift(cell, 1, out=state[:some])
-            out[n] = np.bincount(np.array(owners)[order], weights=count, minlength=len(texts)).astype(np.int64)
-        return out
+                states[at + 1, :some], ended[at, :some] = machine.step(states[at, :some], grid[at, :some])
+            while True:  # from where the block before ended
+                left = states[size[before], before]
+                again = left != came[later]
+                if not again.any():
+                    break
+                live, state = later[again], left[again]
+                came[live] = state
+                for at in range(BLOCK):
+                    inside = size[live] > at
+                    live, state = live[inside], state[inside]
+                    if not len(live):
+                        break
+                    to, end = machine.step(state, grid[at, live])
+                    ended[at, live] = end
+                    new = to != states[at + 1, live]
+                    states[at + 1, live] = to
+                    live, state = live[new], to[new]
+            last = row[ends - 1]
+            yield np.bincount(owner[order], weights=ended.sum(axis=0), minlength=len(texts)).astype(np.int64), states[size[last], last]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         symbols = [self.symbols(t or "") for t in texts]
@@ -163,24 +226,21 @@ def is_held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Parser:
-    """Machines from labelled rows: of each language about ``limits.rows`` rows, one passage of each at a place that its
-    hash names. Which rows and places are taken depends on ids and lengths alone, so the same table gives the same model.
+    """Machines from labelled rows: of each language about ``limits.rows`` whole rows, by the hash of their ids, up to
+    ``limits.letters``. Which rows are taken depends on ids and lengths alone, so the same table gives the same model.
     """
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")
     ).where("l IS NOT NULL AND length(t) > 0")
     counts = rows.groupBy("l").count()
     places = F.broadcast(counts.select("l", F.least(F.lit(1.0), limits.rows / F.col("count")).alias("share")))  # one row a language
-    start = F.pmod(F.xxhash64("i", F.lit("place")), F.greatest(F.length("t") - limits.letters, F.lit(0)) + 1) + 1
-    drawn = (
-        rows.join(places, "l")
-        .where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
-        .select("i", "l", F.col("t").substr(start.cast("int"), F.lit(limits.letters)).alias("t"))
-    )
+    drawn = rows.join(places, "l").where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("i", "l", "t")
     samples: dict[str, list[str]] = {}
-    for row in sorted(drawn.toArrow().to_pylist(), key=lambda r: (r["l"], r["i"], r["t"])):
-        if any(map(str.isalpha, row["t"])):
-            samples.setdefault(row["l"], []).append(row["t"])
+    taken: dict[str, int] = {}
+    for r in sorted(drawn.toArrow().to_pylist(), key=lambda r: (r["l"], r["i"], r["t"])):
+        if taken.get(r["l"], 0) < limits.letters and any(map(str.isalpha, r["t"])):
+            samples.setdefault(r["l"], []).append(r["t"])
+            taken[r["l"]] = taken.get(r["l"], 0) + len(r["t"])
     return Parser(samples, limits)
 
 

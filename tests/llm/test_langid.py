@@ -5,21 +5,19 @@ from filelode.llm import langid
 
 
 def brute_phrases(parser, sample, text):
-    """Greedy longest matches by substring search, block by block."""
+    """Greedy longest matches by substring search, from the first symbol to the last."""
     joined = []
     for s in sample:
         joined += parser.symbols(s).tolist() + [parser.width - 1]
     hay = "".join(chr(0x4E00 + x) for x in joined)
     total = 0
-    symbols = parser.symbols(text).tolist()
-    for at in range(0, len(symbols), langid.BLOCK):
-        block, i = symbols[at : at + langid.BLOCK], 0
-        while i < len(block):
-            n = 0
-            while i + n < len(block) and block[i + n] != parser.width - 1 and "".join(chr(0x4E00 + x) for x in block[i : i + n + 1]) in hay:
-                n += 1
-            i += max(n, 1)
-            total += 1
+    symbols, i = parser.symbols(text).tolist(), 0
+    while i < len(symbols):
+        n = 0
+        while i + n < len(symbols) and symbols[i + n] != parser.width - 1 and "".join(chr(0x4E00 + x) for x in symbols[i : i + n + 1]) in hay:
+            n += 1
+        i += max(n, 1)
+        total += 1
     return total
 
 
@@ -37,6 +35,33 @@ def test_phrases_match_substring_search():
             assert got[n][i] == brute_phrases(parser, samples[lang], t)
 
 
+def test_matches_that_reach_over_blocks(monkeypatch):
+    rng = random.Random(6)
+    sample = "".join(rng.choices("abc ", k=3000))
+    parser = langid.Parser({"aa": [sample], "bb": ["ab" * 50]})
+    texts = [sample[100:2900], sample[5:700] + "x" + sample[20:1500], "ab" * 2000, sample[:512], sample[:513]]
+    got = parser.phrases([parser.symbols(t) for t in texts])
+    for n, lang in enumerate(parser.langs):
+        assert got[n].tolist() == [brute_phrases(parser, {"aa": [sample], "bb": ["ab" * 50]}[lang], t) for t in texts]
+    assert got[0][0] == 1
+    monkeypatch.setattr(langid, "SEGMENT", 1024)
+    assert (parser.phrases([parser.symbols(t) for t in texts]) == got).all()
+
+
+def test_languages_of_many_letters(spark):
+    """Two languages that share half of some thousand letters, beside one of a few: all are told apart."""
+    rng = random.Random(8)
+    han = [chr(0x4E00 + k) for k in range(3000)]
+    words = {
+        "ja": ["".join(rng.choices(han[:2000], k=rng.randint(1, 3))) for _ in range(1500)],
+        "zh": ["".join(rng.choices(han[1000:], k=rng.randint(1, 3))) for _ in range(1500)],
+        "en": ["".join(rng.choices("abcdefghijklm", k=rng.randint(2, 7))) for _ in range(300)],
+    }
+    rows = [(i, "".join(rng.choices(words[lang], k=60)) if lang != "en" else " ".join(rng.choices(words[lang], k=40)), lang) for i in range(600) for lang in [("ja", "zh", "en")[i % 3]]]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    assert sum(r.lang_pred == ("ja", "zh", "en")[r.doc_id % 3] for r in got) >= 0.98 * len(got)
+
+
 def test_whole_operator(spark):
     rng = random.Random(9)
     words = {"x1": ["the", "with", "and", "house"], "x2": ["der", "und", "ß", "haus"], "x3": ["les", "avec", "être", "maison"]}
