@@ -33,7 +33,7 @@ def test_against_brute_force(spark):
     rows += [(1, None), (2, []), (3, [0.0] * 16), (4, [float("nan")] + [1.0] * 15), (5, [None] + [1.0] * 15), (6, [float("inf")] * 16)]
     rows += [(7, [1.0, 2.0]), (8, [2.0, 4.0]), (9, [1.0, -2.0]), rows[0]]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, n int, list int")
-    for sizes in (Sizes(), Sizes(block=8, chunk=8)):
+    for sizes in (Sizes(), Sizes(block=8, chunk=8), Sizes(per_list=4, lists=8)):
         got = sorted(tuple(r) for r in embedding_dedup(df, sizes=sizes).collect())
         assert got == brute(rows)
     assert embedding_dedup(df.limit(0)).collect() == []
@@ -50,3 +50,26 @@ def test_recall_on_random_vectors(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     found = sum(r.n_links for r in embedding_dedup(df).collect())
     assert want > 400 and 0.99 * want <= found <= want
+
+
+def links_of(spark, x, sizes):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    return sum(r.n_links for r in embedding_dedup(df, sizes=sizes).collect())
+
+
+def test_recall_on_vectors_of_few_dimensions(spark):
+    """Vectors of 64 components that lie near 4 or 8 dimensions, and clusters of such; with one and with two levels."""
+    rng = np.random.default_rng(4)
+    for rank in (4, 8):
+        x = np.float32(rng.normal(size=(3000, rank)) @ rng.normal(size=(rank, 64)) + rng.normal(size=(3000, 64)) * 0.05)
+        u = x.astype(np.float64)
+        u /= np.linalg.norm(u, axis=1)[:, None]
+        want = int((u @ u.T >= 0.95).sum()) - len(u)
+        for sizes in (Sizes(), Sizes(per_list=10, lists=16)):
+            assert want > 400 and 0.99 * want <= links_of(spark, x, sizes) <= want
+    planes = [rng.normal(size=(3, 64)) * 0.25 for _ in range(30)]
+    x = np.float32(np.concatenate([rng.normal(size=64) + rng.normal(size=(100, 3)) @ p for p in planes]))
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = int((u @ u.T >= 0.95).sum()) - len(u)
+    assert want > 500 and 0.95 * want <= links_of(spark, x, Sizes(per_list=20)) <= want
