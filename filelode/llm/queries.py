@@ -34,7 +34,8 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     try:
-        return checkpoint(exact_dedup(table(spark, sf_dir, "documents"), index))
+        # in two appended batches, so that the second meets an index with rows in it
+        return checkpoint(exact_dedup(table(spark, sf_dir, "documents"), index, batches=2))
     finally:
         index.drop()
 
@@ -113,7 +114,7 @@ p AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM m GROUP BY doc_id, run)
 k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM p),
 t AS (SELECT doc_id, count(*) AS spans, sum(b - a)::BIGINT AS gone, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
   FROM k JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, TRY(decode(unhex(coalesce(kept, h)))) AS text FROM d LEFT JOIN t USING (doc_id)
 """
 
 

@@ -6,14 +6,21 @@ strings have equal minimisers and contexts, so a text falls into stretches of st
 string can only repeat among the stretches with the same context hash. Contexts that occur once are settled by a count;
 equal stretches are one with a count, and repeat as a whole. What is left, different stretches of one context, is
 gathered by context into shards of bounded size, and a shard's suffix array and permuted common prefixes tell which
-strings start more than once. No stretch is longer than about two strings but for periodic text.
+strings start more than once. No stretch is longer than about two strings.
+
+Text of a period of up to ``PERIOD`` bytes that is longer than a string and a period (one letter repeated, padding, a
+repeated line) would have a stretch a period. All its strings repeat inside it, which is known at sight; only those of its
+first period are looked for elsewhere.
 
 The stretches of a context of more than ``GROUP`` different ones (a passage that very many documents embed) are cut into
 blocks of strings, whose context is all that the strings of a block share, and go the same way; blocks that are still too
 many, string by string, where equal ones are told by a count with partial aggregates that no number of them can stall.
 
 Defined cases: a null text is empty; a text shorter than ``LENGTH`` loses nothing; rows of one id are separate texts if
-their text differs and copies of each other otherwise; rows with a null id count and are returned like others.
+their text differs and copies of each other otherwise; rows with a null id count and are returned like others. Where a
+removed run ends inside a letter, what is left is no UTF-8: ``text`` is null then, and the digest, which is of the bytes,
+as always.
+The result reads intermediate files in the checkpoint folder, which stay there until that is cleared.
 """
 
 from __future__ import annotations
@@ -36,6 +43,8 @@ LENGTH = 400
 K = 32
 #: Context bytes on one side: at least one side of a minimiser has as many in its string.
 HALF = (LENGTH - K) // 2
+#: Bytes of a period that is looked for; in a longer one no minimiser's window holds a whole period.
+PERIOD = LENGTH - K
 #: Different stretches of a context that a shard takes.
 GROUP = 512
 #: Strings of a block, where the stretches of a context are too many: cut finer, then string by string.
@@ -48,8 +57,22 @@ BATCH = 1 << 20
 STRETCH = "context long, row long, start long, n int, lead int"
 
 
-def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of the texts: context hash, number of the text, first start of a string, number of starts, bytes to the minimiser."""
+def periodic(x: np.ndarray, of: np.ndarray, periods: list[int]) -> list[tuple[int, int, int]]:
+    """Maximal (first start, last start, period) of strings that all repeat at a distance of one of the periods."""
+    out = []
+    for d in periods:
+        same = np.zeros(len(x) - d + 2, np.int8)
+        same[1:-1] = (x[d:] == x[:-d]) & (of[d:] == of[:-d])
+        edges = np.diff(same)
+        begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        long = end - begin >= LENGTH  # a string and its copy
+        out += [(u, v - LENGTH + d, d) for u, v in zip(begin[long].tolist(), end[long].tolist())]
+    return out
+
+
+def stretches(texts: list[bytes]) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int, int]]]:
+    """Of the texts: context hash, number of the text, first start of a string, number of starts, bytes to the minimiser;
+    and runs of starts that repeat in their own text: number of the text, first and last start."""
     joined = b"".join(texts)
     x = np.frombuffer(joined, np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -57,7 +80,7 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     n = len(x)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none.view(np.uint64), none, none, none, none
+        return (none.view(np.uint64), none, none, none, none), []
     powers, inverses = words._power_tables(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((x.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
@@ -77,16 +100,34 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     of = np.repeat(np.arange(len(texts)), sizes)[: len(at)]
     inside = string + LENGTH <= ends[of]
     left = at - string >= HALF
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (left[1:] != left[:-1]) | ~inside[:-1]
-    first = np.flatnonzero(new & inside)
-    stop = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True))
-    count = stop - first + 1
-    p = at[first]
-    lo = np.where(left[first], p - HALF, p)
-    hi = np.where(left[first], p + K, p + K + HALF)
-    context = words.mixed((sums[hi] - sums[lo]) * inverses[lo] + left[first].astype(np.uint64))
-    return context, of[first], first - (ends - sizes)[of[first]], count, p - first
+    begins = ends - sizes
+
+    def cut() -> tuple[np.ndarray, ...]:
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (left[1:] != left[:-1]) | ~inside[:-1]
+        first = np.flatnonzero(new & inside)
+        stop = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True))
+        p = at[first]
+        lo = np.where(left[first], p - HALF, p)
+        hi = np.where(left[first], p + K, p + K + HALF)
+        context = words.mixed((sums[hi] - sums[lo]) * inverses[lo] + left[first].astype(np.uint64))
+        return context, of[first], first, stop - first + 1, p - first
+
+    found, runs = cut(), []
+    context, text, first, _, lead = found
+    periods: set[int] = set()
+    for k in (1, 2, 3):  # stretches of a period, one for each side of the minimiser and one for the cut
+        near = (context[k:] == context[:-k]) & (text[k:] == text[:-k])
+        gap = (first + lead)[k:][near] - (first + lead)[:-k][near]
+        periods.update(gap[(gap > 0) & (gap <= PERIOD)].tolist())
+    if periods:
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        for a, b, d in periodic(x, owner, sorted(periods)):
+            inside[a + d : b + 1] = False
+            runs.append((int(owner[a]), int(a - begins[owner[a]]), int(b - begins[owner[a]])))
+        found = cut()
+    context, text, first, count, lead = found
+    return (context, text, first - begins[text], count, lead), runs
 
 
 def _stretches(docs: DataFrame) -> DataFrame:
@@ -99,10 +140,13 @@ def _stretches(docs: DataFrame) -> DataFrame:
         held = 0
 
         def flush() -> pa.RecordBatch:
-            context, of, start, n, lead = stretches(parts)
-            start = start + np.array(firsts, np.int64)[of]
-            row = np.array(rows, np.int64)[of]
-            columns = [pa.array(context.view(np.int64)), pa.array(row), pa.array(start), pa.array(n, pa.int32()), pa.array(lead, pa.int32())]
+            (context, of, start, n, lead), runs = stretches(parts)
+            own = np.array(runs, np.int64).reshape(-1, 3)  # these have no context
+            of, base = np.concatenate([of, own[:, 0]]), np.array(firsts, np.int64)
+            start = np.concatenate([start, own[:, 1]]) + base[of]
+            n, lead = np.concatenate([n, own[:, 2] - own[:, 1] + 1]), np.concatenate([lead, np.zeros(len(own), np.int64)])
+            context = pa.array(np.concatenate([context.view(np.int64), own[:, 0]]), mask=np.arange(len(of)) >= len(context))
+            columns = [context, pa.array(np.array(rows, np.int64)[of]), pa.array(start), pa.array(n, pa.int32()), pa.array(lead, pa.int32())]
             return pa.RecordBatch.from_arrays(columns, ["context", "row", "start", "n", "lead"])
 
         for batch in batches:
@@ -122,8 +166,8 @@ def _stretches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(found, STRETCH)
 
 
-#: What one pass over the joined texts writes: 0, a text without stretches that matter, with its digest; 1, another text
-#: as it is; 2, a stretch with its bytes.
+#: What one pass over the joined texts writes: 0, a text without stretches that matter; 1, another text; 2, a stretch with
+#: its bytes.
 STAGED = "kind int, id long, row long, context long, digest binary, start long, n int, lead int, payload binary"
 
 
@@ -143,16 +187,18 @@ def _staged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
             for id_, row, data, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 data = data.as_py()
-                if not parts.is_valid:
-                    put(0, id_, row, None, None, None, len(data), None, hashlib.sha256(data).hexdigest().encode())
-                    continue
-                put(1, id_, row, None, None, None, len(data), None, data)
+                put(1 if parts.is_valid else 0, id_, row, None, None, None, len(data), None, data)
                 held += len(data)
-                flat = parts.values
-                for context, start, n, lead in zip(*(flat.field(c).to_pylist() for c in ("context", "start", "n", "lead"))):
+                flat = parts.values if parts.is_valid else None
+                for context, start, n, lead in zip(*(flat.field(c).to_pylist() for c in ("context", "start", "n", "lead"))) if flat is not None else ():
+                    if context is None:
+                        continue
                     piece = data[start : start + n + LENGTH - 1]
                     held += len(piece)
                     put(2, id_, row, context, xxhash.xxh3_128_digest(piece), start, n, lead, piece)
+                    if held > 1 << 23:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+                        out, held = [[] for _ in names], 0
                 if held > 1 << 23:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
                     out, held = [[] for _ in names], 0
@@ -247,7 +293,7 @@ def _blocks(texts: DataFrame, size: int) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``."""
+    """One row per row of ``docs``: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, and the ``text`` that is left."""
     spark = docs.sparkSession
     ids = F.col(id_col).cast("long")
     rows = docs.select(ids.alias("id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("data"))
@@ -257,25 +303,27 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     _stretches(rows.where(F.octet_length("data") >= LENGTH).select("row", "data")).write.parquet(f"{place}-all")
     found = spark.read.schema(STRETCH).parquet(f"{place}-all")
     # computed first: only a join of plain shuffles can split the stretches of a context that very many texts have
-    often = checkpoint(found.groupBy("context").count().where("count > 1").select("context"))
-    _staged(rows, found.join(often, "context", "left_semi")).write.partitionBy("kind").parquet(place)
+    often = checkpoint(found.where("context IS NOT NULL").groupBy("context").count().where("count > 1").select("context"))
+    own = found.where("context IS NULL")
+    wanted = found.join(often, "context", "left_semi").unionByName(own)
+    _staged(rows, wanted).write.partitionBy("kind").option("compression", "zstd").parquet(place)
+    runs = checkpoint(own.select("row", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1).alias("b")))
     drop_path(spark, f"{place}-all")
     staged = spark.read.schema(STAGED).parquet(place)
+    zero = F.lit(0).cast("long")
     plain = staged.where("kind = 0").select(
-        "id", F.col("n").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.decode("payload", "UTF-8").alias("kept_sha256")
+        "id", F.octet_length("payload").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("payload", 256).alias("kept_sha256"), F.col("payload").cast("string").alias("text")
     )
-    found = spans(staged.where("kind = 2").select("context", "digest", "row", "start", "n", "lead", F.col("payload").alias("bytes")))
-    found = found.withColumnRenamed("row", "__row")
+    pieces = staged.where("kind = 2").select("context", "digest", "row", "start", "n", "lead", F.col("payload").alias("bytes"))
+    found = checkpoint(spans(pieces, runs).withColumnRenamed("row", "__row"))
     others = staged.where("kind = 1").select("id", "row", F.col("payload").alias("data"))
     touched = _kept(others.join(found, F.col("row") == F.col("__row"), "left").select("id", "data", "spans"))
-    out = checkpoint(plain.unionByName(touched))
-    drop_path(spark, place)
-    return out.withColumnRenamed("id", id_col)
+    return plain.unionByName(touched).withColumnRenamed("id", id_col)
 
 
-def spans(pieces: DataFrame) -> DataFrame:
-    """``(row, spans)`` of the rows that have bytes to remove; a span is (first, last start)."""
-    return _marks(pieces, 0).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+def spans(pieces: DataFrame, runs: DataFrame) -> DataFrame:
+    """``(row, spans)`` of the rows that have bytes to remove; a span is (first, last start). ``runs`` are known ones."""
+    return _marks(pieces, 0).unionByName(runs).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def _marks(pieces: DataFrame, level: int) -> DataFrame:
@@ -309,7 +357,7 @@ def _marks(pieces: DataFrame, level: int) -> DataFrame:
 def _kept(rows: DataFrame) -> DataFrame:
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for data, found in zip(batch.column(1), batch.column(2)):
                 data = data.as_py()
                 gone, n_spans, at, kept = 0, 0, 0, []
@@ -323,9 +371,14 @@ def _kept(rows: DataFrame) -> DataFrame:
                         end = max(end, b)
                         at = end
                 kept.append(data[at:])
-                for column, value in zip(out, (len(data), gone, n_spans, hashlib.sha256(b"".join(kept)).hexdigest())):
+                whole = b"".join(kept)
+                try:
+                    left = whole.decode("utf-8")
+                except UnicodeDecodeError:
+                    left = None
+                for column, value in zip(out, (len(data), gone, n_spans, hashlib.sha256(whole).hexdigest(), left)):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    return rows.mapInArrow(removed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(removed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")

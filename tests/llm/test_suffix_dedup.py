@@ -18,7 +18,11 @@ def brute(rows):
                 gone[k : k + 400] = b"\1" * 400
         spans = sum(1 for k in range(len(d)) if gone[k] and (k == 0 or not gone[k - 1]))
         kept = bytes(c for c, g in zip(d, gone) if not g)
-        out.append((i, len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        try:
+            text = kept.decode()
+        except UnicodeDecodeError:
+            text = None
+        out.append((i, len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest(), text))
     return sorted(out, key=str)
 
 
@@ -53,3 +57,24 @@ def test_repeated_and_null_ids_and_empty(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in S.suffix_dedup(df).collect()), key=str) == brute(rows)
     assert S.suffix_dedup(df.limit(0)).collect() == []
+
+
+def test_periodic_text_has_few_stretches():
+    """Megabytes of one letter, of a repeated line and of padding inside prose: stretches in proportion to the rest."""
+    rng = random.Random(3)
+    prose = "".join(rng.choices("abcdefgh ", k=20_000)).encode()
+    line = bytes(rng.choices(range(97, 123), k=59))
+    for text in (b"a" * S.BATCH, line * (S.BATCH // 59), prose + b" " * 500_000 + prose[::-1], bytes(range(33, 46)) * 50_000):
+        (_, _, start, n, _), runs = S.stretches([text])
+        assert len(start) < 50 + 2 * 40_000 // 100 and int(n.sum()) + sum(b - a for _, a, b in runs) >= len(text) - 1000
+        assert len(runs) <= 3 and sum(b - a for _, a, b in runs) > 400_000
+
+
+def test_long_periodic_documents(spark):
+    line = "the same line of padding, over and over again, to the end.\n"
+    rows = [(1, "x" * 10_000_000), (2, line * 50_000), (3, "start " + line * 8 + "end"), (4, "y" + "q" * 399 + "z"), (5, "y" + "x" * 400 + "z")]
+    got = {r.doc_id: r for r in S.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[1].n_spans, got[1].text) == (10_000_000, 1, "")
+    assert got[2].n_removed == len(line) * 50_000 and got[4].n_removed == 0
+    assert got[5].n_removed == 400 and got[5].text == "yz"
+    assert got[3].n_removed == 8 * len(line) and got[3].text == "start end"
