@@ -70,6 +70,18 @@ def cached_or_computed(files: DataFrame, cache: DataFrame, compute: Callable[[Da
     return hits.select(*keys, "hash", F.lit("cache").alias("origin")).unionByName(made.withColumn("origin", F.lit("disk")))
 
 
+def cached_scan(files: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame], skip: bool = False, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What ``cached_or_computed`` gives, and the cache afterwards (``path``, ``modified``, ``hash``).
+
+    With ``skip`` the cache is not looked at, and not written either unless ``overwrite``.
+    """
+    found = cached_or_computed(files, cache, compute, skip)
+    if skip and not overwrite:
+        return found, cache
+    made = found.where("origin = 'disk'").select("path", "modified", "hash")
+    return found, cache.select("path", "modified", "hash").join(made.select("path"), "path", "left_anti").unionByName(made)
+
+
 def push(records: DataFrame, send: Callable[[list[dict]], None], per_batch: int = PUSH_BATCH) -> DataFrame:
     """Send records in batches from the tasks that have them: one row per batch with its size and, if it failed, why.
 

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from filelode.sources.hashes import Blake3
+
 CHUNK = 1 << 20
 #: Folders that the driver opens at most to find some to deal out.
 OPENED = 256
@@ -115,7 +117,7 @@ def hashed(files: DataFrame, functions: tuple[str, ...] = ("sha256", "blake2b"))
             maps, faults = [], []
             for path in batch["path"]:
                 try:
-                    states = {f: hashlib.new(f) for f in functions}
+                    states = {f: Blake3() if f == "blake3" else hashlib.new(f) for f in functions}
                     with open(path, "rb") as f:
                         while chunk := f.read(CHUNK):
                             for state in states.values():

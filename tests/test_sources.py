@@ -1,6 +1,7 @@
 import hashlib
 import io
 import os
+import sqlite3
 import zipfile
 
 import pytest
@@ -73,6 +74,45 @@ def test_office_and_ebook_metadata(spark):
     assert got["/b.pptx"].slides == 2 and got["/c.epub"].identifier == "9780306406157" and got["/d.docx"].is_protected
 
 
+def test_headers_and_active_sheet(spark):
+    sheet = '<w xmlns="m"><dimension ref="A1:B3"/><sheetData><row r="1"><c t="s"><v>1</v></c><c t="inlineStr"><is><t>two</t></is></c><c><v>7</v></c></row></sheetData></w>'
+    book = '<w xmlns="m" xmlns:r="r"><bookViews><workbookView activeTab="1"/></bookViews><sheets><sheet name="S" r:id="r1"/><sheet name="T" r:id="r2"/></sheets></w>'
+    links = '<R><x Id="r1" Target="worksheets/sheet1.xml"/><x Id="r2" Target="/xl/worksheets/sheet2.xml"/></R>'
+    xlsx = archive({
+        "xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": links, "xl/worksheets/sheet1.xml": sheet, "xl/worksheets/sheet2.xml": sheet.replace('r="1"', 'r="2"'),
+        "xl/sharedStrings.xml": '<s xmlns="m"><si><t>zero</t></si><si><r><t>o</t></r><r><t>ne</t></r></si></s>',
+    })
+    row = documents.document_metadata(spark.createDataFrame([("/a.xlsx", xlsx)], "path string, content binary")).first()
+    assert row.active_sheet == "T" and row.headers == [["one", "two", "7"], []] and tuple(row.sheets[1]) == ("T", 3, 2)
+    found = spark.createDataFrame([("/a.docx", archive({"word/document.xml": "x" * 3_000_000})), ("/b.docx", archive({"other": ""})), ("/c.epub", archive({"mimetype": "application/epub+zip"}))], "path string, content binary")
+    kinds = {r.path: r.k for r in found.select("path", files.media_type(F.col("content"), F.col("path")).alias("k")).collect()}
+    assert kinds["/a.docx"].endswith("document") and kinds["/b.docx"] == "application/zip" and kinds["/c.epub"] == "application/epub+zip"
+
+
+def test_a_deep_and_wide_tree_is_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "OPENED", 8)
+    for i in range(20):
+        (tmp_path / f"d{i}" / "x" / "y").mkdir(parents=True)
+        (tmp_path / f"d{i}" / "x" / "y" / "f").write_text("1")
+        (tmp_path / f"d{i}" / f"g{i}").write_text("22")
+    rows = files.listing(spark, str(tmp_path), recursive=True).collect()
+    assert sum(not r.is_dir for r in rows) == 40 and sum(r.is_dir for r in rows) == 60
+    assert len({r.ordinal for r in rows}) == len(rows) == len({r.path for r in rows})
+    assert len(files._StatReader(str(tmp_path), True).partitions()) >= 20
+    some = files.with_local_attributes(spark.createDataFrame([(str(tmp_path / "d1" / "g1"),), ("/gone",)], "path string"), files.listing(spark, str(tmp_path / "d1")))
+    got = {os.path.basename(r.path): r.local_attributes for r in some.collect()}
+    assert got["g1"].links == 1 and got["g1"].inode and got["gone"] is None
+    hashes = files.hashed(spark.createDataFrame([(str(tmp_path / "d1" / "g1"),)], "path string"), ("sha256", "blake3")).first().hashes
+    assert hashes["sha256"] == hashlib.sha256(b"22").hexdigest() and len(hashes["blake3"]) == 64
+
+
+def test_scan_limit_and_errors(spark, folder):
+    found = files.contents(spark, str(folder), recursive=True)
+    assert {r.error for r in files.scan(found, limit=3).collect()} == {None}
+    with pytest.raises(ValueError):
+        files.scan(found, limit=2)
+
+
 def test_pipeline_steps(spark):
     df = spark.createDataFrame([("h1", "text/a", "x"), ("h2", "img/b", None)], "hash string, media_type string, body string")
     steps = Pipeline((Step("base", "file/base", lambda d: F.to_json(F.struct("media_type"))),))
@@ -101,6 +141,17 @@ def test_sinks(spark, tmp_path):
     assert [sinks.to_sqlite(flat, str(tmp_path / "d.db"), "t") for _ in range(2)] == [5, 5]
     page = sinks.html_report(df, "A & B")
     assert "A &amp; B" in page and "f4" in page
+    parts = [p for p in (tmp_path / "d.db").iterdir()]
+    rows = [r for p in parts for r in sqlite3.connect(p).execute("SELECT name, file_size FROM t")]
+    assert sorted(rows) == sorted([(f"f{i}", str(10 * i)) for i in range(5)] * 2)
+    sinks.to_json(df, str(tmp_path / "less"), exclude=("hash",), aliases={"size": "bytes"}, nulls=True)
+    kept = spark.read.json(str(tmp_path / "less/results"))
+    assert "bytes" in kept.columns and "hash" not in kept.columns and "date_modified" in kept.columns
+    (tmp_path / "own.html").write_text("<b>{title}</b>{body}")
+    own = sinks.template("own", [str(tmp_path / "none"), str(tmp_path)])
+    assert sinks.html_report(df, "T", {"Only": lambda d: d.select("name").limit(1)}, own).startswith("<b>T</b><h2>Only</h2>") and sinks.template("none") == sinks.PAGE
+    record = '{"hash":"h","annotations":{"file/base":{"record":{"name":"n<","size":1}},"open/generic":[{"record":{"data":{"k":1}}}]}}'
+    assert "n&lt;" in sinks.file_report(record) and "open/generic" in sinks.file_report(record)
 
 
 def test_streaming_ingest_drops_repeats(spark, folder, tmp_path_factory):
