@@ -45,7 +45,7 @@ class Sizes:
     and queries of a chunk."""
 
     sample: int = 20_000
-    per_list: int = 64
+    per_list: int = 128
     lists: int = 4096
     subspaces: int = 8
     codewords: int = 256
