@@ -266,8 +266,7 @@ class Bpe:
     def found(self, text: str) -> list[str]:
         """The pieces of a normalised text. Letters and digits newer than the library's Unicode count as what it takes them
         for, code points without a character."""
-        newer = newer_letters()
-        if not newer or newer.keys().isdisjoint(map(ord, set(text))):
+        if text.isascii() or (newer := newer_letters()).keys().isdisjoint(map(ord, set(text))):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(newer))]
 
