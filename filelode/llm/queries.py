@@ -82,6 +82,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelode.llm.conversations import damage, repair
+
+    rows = table(spark, sf_dir, "conversations")
+    return repair(damage(rows), rows.selectExpr("conv_id AS conv")).withColumnRenamed("conv", "conv_id")
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelode.llm.sentence_pieces import round_trip_digests
+
+    return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -118,9 +131,49 @@ SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0)
 """
 
 
+# the CRC-32 by its table; least (cost, edits, lines) of the rows that are left, from the last row back, for each state of the roles
+OP11_SQL = r"""
+WITH RECURSIVE t0 AS (SELECT i, i AS c, 0 AS k FROM range(256) r(i) UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t0 WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM t0 WHERE k = 8),
+d0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(regexp_replace(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '(..)', '\1 ', 'g').rtrim(), ' '),
+      lambda x: ('0x' || x)::BIGINT), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 20 AS kind FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM d0 WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, E' \t\n\x0b\x0c\r') AS said, left(role, 1) AS ch FROM d),
+f AS (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN min(i) OVER (PARTITION BY conv_id, role, text) < i THEN 'duplicate'
+    WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(ch) OVER (PARTITION BY conv_id ORDER BY i) || ch NOT IN ('su', 'ua', 'au') AS bad, max(i) OVER (PARTITION BY conv_id) AS n FROM o),
+s AS (SELECT DISTINCT conv_id, n + 1 AS i, {c: 0, a: '', l: []::VARCHAR[]} AS f0, {c: 10, a: 'II', l: ['user:', 'assistant:']} AS f1,
+    {c: 5, a: 'I', l: ['assistant:']} AS f2, {c: 0, a: '', l: []::VARCHAR[]} AS f3 FROM f
+  UNION ALL
+  SELECT conv_id, i, list_min([g0, {c: 5 + h2.c, a: 'I' || h2.a, l: ['user:'] || h2.l}]), list_min([g1, {c: 5 + h2.c, a: 'I' || h2.a, l: ['user:'] || h2.l}]),
+    list_min([g2, {c: 5 + h3.c, a: 'I' || h3.a, l: ['assistant:'] || h3.l}]), list_min([g3, {c: 5 + h2.c, a: 'I' || h2.a, l: ['user:'] || h2.l}])
+  FROM (SELECT *, list_min([g2, {c: 5 + g3.c, a: 'I' || g3.a, l: ['assistant:'] || g3.l}]) AS h2, list_min([g3, {c: 5 + g2.c, a: 'I' || g2.a, l: ['user:'] || g2.l}]) AS h3
+  FROM (SELECT conv_id, i,
+    list_min([{c: 2 + f0.c, a: 'D' || f0.a, l: f0.l}, {c: r + f2.c, a: 'R' || f2.a, l: ['user:' || text] || f2.l},
+      {c: CASE ch WHEN 's' THEN k + f1.c WHEN 'u' THEN k + f2.c ELSE 1000000 END, a: 'K' || CASE ch WHEN 's' THEN f1.a ELSE f2.a END, l: [role || ':' || text] || CASE ch WHEN 's' THEN f1.l ELSE f2.l END}]) AS g0,
+    list_min([{c: 2 + f1.c, a: 'D' || f1.a, l: f1.l}, {c: r + f2.c, a: 'R' || f2.a, l: ['user:' || text] || f2.l},
+      {c: CASE ch WHEN 'u' THEN k + f2.c ELSE 1000000 END, a: 'K' || f2.a, l: [role || ':' || text] || f2.l}]) AS g1,
+    list_min([{c: 2 + f2.c, a: 'D' || f2.a, l: f2.l}, {c: r + f3.c, a: 'R' || f3.a, l: ['assistant:' || text] || f3.l},
+      {c: CASE ch WHEN 'a' THEN k + f3.c ELSE 1000000 END, a: 'K' || f3.a, l: [role || ':' || text] || f3.l}]) AS g2,
+    list_min([{c: 2 + f3.c, a: 'D' || f3.a, l: f3.l}, {c: r + f2.c, a: 'R' || f2.a, l: ['user:' || text] || f2.l},
+      {c: CASE ch WHEN 'u' THEN k + f2.c ELSE 1000000 END, a: 'K' || f2.a, l: [role || ':' || text] || f2.l}]) AS g3
+  FROM (SELECT f.*, s.* EXCLUDE (conv_id, i), CASE fault WHEN 'truncated' THEN 5 WHEN '' THEN 0 ELSE 1000000 END AS k,
+      CASE fault WHEN 'truncated' THEN 6 WHEN '' THEN 1 ELSE 1000000 END AS r FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i - 1)))),
+e AS (SELECT conv_id, f0.c AS cost, f0.a AS audit, array_to_string(f0.l, chr(10)) AS kept FROM s WHERE i = 1),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(kept, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_best_fit_packing": op5_best_fit_packing, "op6_html_extraction": op6_html_extraction, "op7_embedding_dedup": op7_embedding_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_best_fit_packing": op5_best_fit_packing, "op6_html_extraction": op6_html_extraction, "op7_embedding_dedup": op7_embedding_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_toxicity": op10_toxicity, "op11_conversation_repair": op11_conversation_repair, "op13_sentence_pieces": op13_sentence_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op7_embedding_dedup": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op7_embedding_dedup": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op11_conversation_repair": OP11_SQL}
