@@ -89,6 +89,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(rows), rows.selectExpr("conv_id AS conv")).withColumnRenamed("conv", "conv_id")
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filelode.llm.alignment import cross_tokenizer
+
+    return cross_tokenizer(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))[0]
+
+
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filelode.llm.sentence_pieces import round_trip_digests
 
@@ -172,7 +178,7 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_best_fit_packing": op5_best_fit_packing, "op6_html_extraction": op6_html_extraction, "op7_embedding_dedup": op7_embedding_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_toxicity": op10_toxicity, "op11_conversation_repair": op11_conversation_repair, "op13_sentence_pieces": op13_sentence_pieces}
+    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_exact_dedup": op3_exact_dedup, "op4_language": op4_language, "op5_best_fit_packing": op5_best_fit_packing, "op6_html_extraction": op6_html_extraction, "op7_embedding_dedup": op7_embedding_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_toxicity": op10_toxicity, "op11_conversation_repair": op11_conversation_repair, "op12_cross_tokenizer": op12_cross_tokenizer, "op13_sentence_pieces": op13_sentence_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
