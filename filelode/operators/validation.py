@@ -6,13 +6,14 @@ records is validated in a scan, without a Python worker and without collecting a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filelode.operators import schemas
+
 _NONE = "CAST(array() AS array<string>)"
 
 
@@ -144,10 +145,14 @@ def errors(v: Column, rule: object, path: str = "$") -> Column:
         parts.append(_when(is_object & (F.size(F.array_except(keys, known)) > 0), f"{path} has other fields"))
     for message, broken in rule.broken:
         parts.append(_when(is_object & broken(lambda p, t: _get(v, p, t)), f"{path} {message}"))
-    parts += [errors(F.try_variant_get(v, f"$.{k}", "variant"), r, f"{path}.{k}") for k, r in rule.fields.items()]
+    parts += [_field(v, k, r, path) for k, r in rule.fields.items()]
     return F.concat(*parts)
 
 
+def _field(v: Column, name: str, rule: object, path: str) -> Column:
+    return schemas.bound(F.try_variant_get(v, f"$.{name}", "variant"), lambda c: errors(c, rule, f"{path}.{name}"))
+
+
 def _has_none(get: Callable[[str, str], Column], path: str) -> Column:
     return F.size(get(path, "array<variant>")) == 0
 
@@ -343,78 +348,38 @@ SCHEMAS: dict[str, Fields] = {
 }
 
 
-_KINDS = {"string", "number", "integer", "boolean", "null", "object", "array"}
-_KEYWORDS = {
-    "type", "maxLength", "pattern", "enum", "minimum", "maximum", "items", "minItems", "maxItems", "properties", "required", "additionalProperties",
-    "anyOf", "oneOf", "title", "description", "$schema", "$id", "default", "examples",
-}
-
-
-def schema_faults(schema: object, path: str = "$") -> list[str]:
-    """What is wrong with a JSON schema, as far as ``compiled`` reads it; nothing: it can be compiled."""
-    if not isinstance(schema, dict):
-        return [f"{path} is not an object"]
-    out = [f"{path} has unknown keyword {k}" for k in sorted(set(schema) - _KEYWORDS)]
-    kinds = schema.get("type", [])
-    kinds = kinds if isinstance(kinds, list) else [kinds]
-    out += [f"{path}.type {k!r} is no type" for k in kinds if k not in _KINDS]
-    for k in ("maxLength", "minItems", "maxItems"):
-        if k in schema and not (isinstance(schema[k], int) and schema[k] >= 0):
-            out.append(f"{path}.{k} is not a count")
-    for k in ("minimum", "maximum"):
-        if k in schema and not isinstance(schema[k], (int, float)):
-            out.append(f"{path}.{k} is not a number")
-    if "pattern" in schema:
-        try:
-            re.compile(schema["pattern"])
-        except (re.error, TypeError):
-            out.append(f"{path}.pattern is no pattern")
-    if not isinstance(schema.get("required", []), list):
-        out.append(f"{path}.required is not a list")
-    if "items" in schema:
-        out += schema_faults(schema["items"], f"{path}.items")
-    fields = schema.get("properties", {})
-    if not isinstance(fields, dict):
-        return [*out, f"{path}.properties is not an object"]
-    for k, inner in fields.items():
-        out += schema_faults(inner, f"{path}.properties.{k}")
-    return out
-
-
-def compiled(schema: dict) -> object:
-    """The rule of a JSON schema: types, lengths, patterns, choices, bounds, lists and objects, fields that are required
-    alone or as one of a group. A schema with faults is refused."""
-    if faults := schema_faults(schema):
-        raise ValueError("; ".join(faults))
-    kinds = schema.get("type", "object" if "properties" in schema else None)
-    kinds = kinds if isinstance(kinds, list) else [kinds]
-    null, kinds = "null" in kinds, [k for k in kinds if k != "null"]
-    if kinds == ["string"] and not null:
-        return Text(schema.get("maxLength"), schema.get("pattern"), tuple(schema.get("enum", ())))
-    if kinds in (["number"], ["integer"]):
-        return Number(schema.get("minimum"), schema.get("maximum"), kinds == ["integer"], null)
-    if kinds == ["array"]:
-        return Items(compiled(schema["items"]) if "items" in schema else Any(), schema.get("minItems", 0), schema.get("maxItems"))
-    if kinds == ["object"] and ("properties" in schema or "required" in schema):
-        groups = tuple(tuple(g.get("required", ())) for g in schema.get("anyOf", ()))
-        any_of = (tuple(k for g in groups for k in g),) if groups else ()
-        one_of = tuple(k for g in schema.get("oneOf", ()) for k in g.get("required", ()))
-        fields = {k: compiled(inner) for k, inner in schema.get("properties", {}).items()}
-        return Fields(fields, tuple(schema.get("required", ())), any_of, one_of, schema.get("additionalProperties", True) is not False)
-    return Scalar() if kinds and not {"object", "array"} & {*kinds} and kinds != [None] else Any()
+def _parsed(json_col: str, deep: bool, judged: Callable[[Column, Column], Column]) -> Column:
+    """What is judged of a record, parsed once, and of how deep it is nested (asked only if ``deep``)."""
+    depth = schemas.nesting(F.col(json_col)) if deep else F.lit(0)
+    return schemas.bound(F.struct(F.try_parse_json(json_col).alias("v"), depth.alias("depth")), lambda r: judged(r["v"], r["depth"]))
 
 
 def validate(records: DataFrame, schema: str | dict | object, json_col: str = "record") -> DataFrame:
     """``records`` with ``errors`` (texts) and ``valid``. A record that isn't JSON is one error.
 
-    ``schema`` names a format, or is a JSON schema or a rule.
+    ``schema`` names a format, or is a JSON schema or a rule. A record is parsed once.
     """
-    rule = SCHEMAS[schema] if isinstance(schema, str) else compiled(schema) if isinstance(schema, dict) else schema
-    v = F.try_parse_json(json_col)
-    found = F.when(v.isNull(), F.array(F.lit("$ is not JSON"))).otherwise(errors(v, rule))
+    if isinstance(schema, dict):
+        judged, deep = schemas.compiled(schema, records, json_col), bool(schemas.cycles(schema))
+    else:
+        rule, deep = SCHEMAS[schema] if isinstance(schema, str) else schema, False
+        judged = lambda v, _: errors(v, rule)
+    found = _parsed(json_col, deep, lambda v, depth: F.when(v.isNull(), F.array(F.lit("$ is not JSON"))).otherwise(judged(v, depth)))
     return records.withColumn("errors", found).withColumn("valid", F.size("errors") == 0)
 
 
+def validate_each(records: DataFrame, named: dict[str, dict], json_col: str = "record") -> DataFrame:
+    """A row for each record and JSON schema, with ``schema`` (its name), ``errors`` and ``valid``; a record is parsed once."""
+    judged = {name: schemas.compiled(schema, records, json_col) for name, schema in named.items()}
+    none = F.array(F.lit("$ is not JSON"))
+
+    def each(v: Column, depth: Column) -> Column:
+        return F.array(*(F.struct(F.lit(name).alias("schema"), F.when(v.isNull(), none).otherwise(f(v, depth)).alias("errors")) for name, f in judged.items()))
+
+    found = _parsed(json_col, any(map(schemas.cycles, named.values())), each)
+    return records.select("*", F.inline(found)).withColumn("valid", F.size("errors") == 0)
+
+
 def summary(validated: DataFrame) -> DataFrame:
     """One row: total, valid and invalid records."""
     return validated.agg(F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))

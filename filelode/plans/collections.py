@@ -183,6 +183,51 @@ def f18_compiled_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.validate(read(spark, sf_dir, "orders").select("o_orderkey", record.alias("record")), _ORDER_SCHEMA).select("o_orderkey", "valid")
 
 
+_NODE = {"type": "object", "properties": {"n": {"type": "integer", "maximum": 1200}, "next": {"$ref": "#/$defs/node"}, "list": {"items": {"$ref": "#/$defs/node"}}}, "required": ["n"]}
+#: JSON schema, and in SQL when a customer's record (below) keeps to it.
+_GRAPHS = {
+    "type union and enum": ({"properties": {"status": {"type": ["string", "null"], "enum": ["F", "O", None, 7]}}}, "c % 5 = 0 OR s <> 'P'"),
+    "any of": ({"anyOf": [{"required": ["a", "b"]}, {"required": ["c"]}]}, "(c % 2 = 0 AND c % 3 = 0) OR c % 7 = 0"),
+    "one of": ({"oneOf": [{"properties": {"total": {"maximum": 100000}}}, {"properties": {"total": {"minimum": 50000}}}]}, "(t <= 100000) <> (t >= 50000)"),
+    "not": ({"not": {"properties": {"status": {"const": "F"}}, "required": ["a"]}}, "NOT (c % 2 = 0 AND c % 5 <> 0 AND s = 'F')"),
+    "other fields": (
+        {"properties": {"tree": True, "parts": {"type": "array"}}, "patternProperties": {"^[abc]$": {"const": 1}}, "additionalProperties": {"type": ["string", "number", "null"], "maximum": 300000}},
+        "c % 4 <> 1 AND t <= 300000",
+    ),
+    "tree": ({"properties": {"tree": {"$ref": "#/$defs/node"}}, "$defs": {"node": _NODE}}, "c <= 1200"),
+    "if, then, else": ({"if": {"properties": {"status": {"const": "F"}}}, "then": {"properties": {"total": {"minimum": 100000}}}, "else": {"required": ["a"]}}, "CASE WHEN c % 5 <> 0 AND s = 'F' THEN t >= 100000 ELSE c % 2 = 0 END"),
+    "whole numbers": ({"properties": {"parts": {"items": {"enum": [0, 1, 2.0]}, "uniqueItems": True, "contains": {"const": 2}, "minContains": 1}, "total": {"multipleOf": 3}}}, "k % 3 <> c % 3 AND 2 IN (k % 3, c % 3) AND t % 3 = 0"),
+    "names": ({"dependentRequired": {"a": ["c"]}, "propertyNames": {"maxLength": 6}, "maxProperties": 7}, "(c % 2 <> 0 OR c % 7 = 0) AND 5 + (c % 2 = 0)::INT + (c % 3 = 0)::INT + (c % 7 = 0)::INT <= 7"),
+    "date and parts in order": ({"properties": {"date": {"format": "date"}, "parts": {"prefixItems": [{"maximum": 1}], "items": {"exclusiveMinimum": 0}}}}, "c % 4 <> 3 AND k % 3 <= 1 AND c % 3 > 0"),
+}
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@named(
+    "f18_schema_graphs",
+    "WITH o AS (SELECT c_custkey AS k, c_custkey * 7 % 1499 AS c, CASE c_nationkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS s, trunc(abs(c_acctbal) * 40)::BIGINT AS t FROM customer) "
+    + " UNION ALL ".join(f"SELECT k, {_sql(name)} AS schema, {sql} AS valid FROM o" for name, (_, sql) in _GRAPHS.items()),
+)
+def f18_schema_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer as a record: a status that may be null, a total, a date, fields that come and go, a tree as deep as its key says."""
+    k, nation = F.col("c_custkey"), F.col("c_nationkey") % 3
+    c = k * 7 % 1499
+    field = lambda name, step: F.when(c % step == 0, f',"{name}":1').otherwise("")
+    status = F.when(c % 5 == 0, "null").otherwise(F.concat(F.lit('"'), F.when(nation == 0, "F").when(nation == 1, "O").otherwise("P"), F.lit('"')))
+    date = F.when(c % 4 == 3, "1995-02-30").when(c % 4 == 1, "true").otherwise("1995-02-28")
+    leaf = _text('{"n":', c, "}")
+    tree = F.when(k % 4 == 0, leaf).when(k % 4 == 1, _text('{"n":1,"next":', leaf, "}")).when(k % 4 == 2, _text('{"n":1,"list":[{"n":2},', leaf, "]}")).otherwise(_text('{"n":3,"next":{"n":4,"next":{"n":5,"list":[', leaf, "]}}}"))
+    record = F.concat(
+        F.lit('{"status":'), status, _text(',"total":', (F.abs("c_acctbal") * 40).cast("long"), ',"date":'), F.when(c % 4 == 1, date).otherwise(F.concat(F.lit('"'), date, F.lit('"'))),
+        _text(',"parts":[', k % 3, ",", c % 3, '],"tree":'), tree, field("a", 2), field("b", 3), field("c", 7), F.lit("}"),
+    )
+    rows = read(spark, sf_dir, "customer").select(k.alias("k"), record.alias("record"))
+    return validation.validate_each(rows, {name: schema for name, (schema, _) in _GRAPHS.items()}).select("k", "schema", "valid")
+
+
 def _steps() -> P.Pipeline:
     total = P.Step("total", "open/generic", lambda d: F.to_json(F.struct(F.col("size").alias("bytes"))), lambda d: F.col("status") == "F")
     return P.Pipeline((P.Step("base", "file/base", lambda d: F.to_json(F.struct("status"))), total))

@@ -11,16 +11,20 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from filelode.functions.scalars import ISBN_BARE, ISBN_NAMED
-
 FIELDS = (
     "path string, kind string, title string, author string, subject string, keywords array<string>, language string, publisher string, identifier string, "
     "created string, modified string, sheets array<struct<name: string, rows: int, cols: int>>, slides int, has_macros boolean, is_protected boolean, error string, "
     "active_sheet string, headers array<array<string>>"
 )
-# Programs that name themselves as contributors of e-books; contributors that are none of these are people.
-TOOL_NAMES = ("calibre", "ibooks author", "smashwords", "adobe", "kindle", "pressbooks", "libreoffice", "easypress", "innodata", "pyscript")
-TOOLS = re.compile(f"({'|'.join(TOOL_NAMES)})", re.I)
+#: What a contributor is to a book, by the relator codes of the package format: its producer, which is a program as a rule.
+PRODUCER = "bkp"
+
+
+def book_number(text: str) -> str | None:
+    """The ISBN of an identifier: ten or thirteen digits, the tenth may be X, perhaps behind a name and with hyphens."""
+    tail = text.rpartition(":")[2].upper().removeprefix("ISBN").replace("-", "").strip()
+    digits = tail[:-1] if tail.endswith("X") and len(tail) == 10 else tail
+    return tail if digits.isdigit() and digits.isascii() and len(tail) in (10, 13) else None
 
 
 def _texts(root: ElementTree.Element) -> dict[str, list[str]]:
@@ -108,11 +112,11 @@ def _epub(archive: zipfile.ZipFile) -> dict:
         return {"kind": "epub", "error": "no package document"}
     t = _texts(package)
     first = lambda k: (t.get(k) or [None])[0]
-    isbn = next((m[1] for x in t.get("identifier", []) if (m := re.search(ISBN_NAMED, x) or re.fullmatch(f"({ISBN_BARE})", x.replace("-", "")))), None)
-    tools = [x for x in t.get("contributor", []) if TOOLS.match(x)]
+    isbn = next(filter(None, map(book_number, t.get("identifier", []))), None)
+    makers = [e.text.strip() for e in package.iter() if _local(e) == "contributor" and e.text and PRODUCER in (v for k, v in e.attrib.items() if k.endswith("role"))]
     return {
         "kind": "epub", "title": first("title"), "author": "; ".join(t.get("creator", [])) or None, "language": first("language"), "publisher": first("publisher"),
-        "subject": first("subject"), "identifier": isbn or first("identifier"), "created": first("date"), "keywords": tools,
+        "subject": first("subject"), "identifier": isbn or first("identifier"), "created": first("date"), "keywords": makers,
     }
 
 

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from filelode.operators import builders, catalog, collections, records, validation
+from filelode.operators import builders, catalog, collections, records, schemas
 from filelode.operators import pipeline as P
 
 
@@ -79,11 +79,11 @@ def test_chunks_stream_whatever_the_partitions(spark):
 
 def test_schema_faults():
     good = {"type": "object", "properties": {"a": {"type": "string", "pattern": "^x"}}, "required": ["a"]}
-    assert validation.schema_faults(good) == []
+    assert schemas.faults(good) == []
     bad = {"type": "thing", "properties": {"a": {"type": "string", "pattern": "(", "maxLength": -1}}, "required": "a", "kind": 1}
-    assert validation.schema_faults(bad) == ["$ has unknown keyword kind", "$.type 'thing' is no type", "$.required is not a list", "$.properties.a.maxLength is not a count", "$.properties.a.pattern is no pattern"]
+    assert schemas.faults(bad) == ["$ has unknown keyword kind", "$.type 'thing' is no type", "$.required is not a list", "$.properties.a.maxLength is not a count", "$.properties.a.pattern is no pattern"]
     with pytest.raises(ValueError):
-        validation.compiled(bad)
+        schemas.checked(bad)
 
 
 def base_model(files):

@@ -63,7 +63,7 @@ def test_office_and_ebook_metadata(spark):
     epub = archive(
         {
             "META-INF/container.xml": '<c xmlns="m"><rootfile full-path="o.opf"/></c>',
-            "o.opf": '<p xmlns:dc="d"><dc:title>B</dc:title><dc:identifier>urn:isbn:9780306406157</dc:identifier><dc:contributor>calibre (7)</dc:contributor></p>',
+            "o.opf": '<p xmlns:dc="d" xmlns:opf="o"><dc:title>B</dc:title><dc:identifier>urn:isbn:9780306406157</dc:identifier><dc:contributor opf:role="bkp">calibre (7)</dc:contributor><dc:contributor opf:role="edt">Ann Editor</dc:contributor></p>',
         }
     )
     rows = [("/a.xlsx", xlsx), ("/b.pptx", pptx), ("/c.epub", epub), ("/d.docx", b"locked"), ("/e.txt", b"")]
