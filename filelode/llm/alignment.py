@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -35,7 +36,7 @@ from filelode.llm.common import checkpoint, drop_path, ensure_checkpoint_dir, gi
 #: A pair of ids with more than this share of all links is broadcast.
 HEAVY = 200_000
 #: Words, and transitions, remembered by a worker.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 TRANSITIONS = 1 << 20
 #: Characters whose words are held at a time.
 AT_ONCE = 1 << 22
@@ -47,10 +48,14 @@ class Transducer:
 
     def __init__(self, first: list[bytes], second: list[bytes]):
         self.raw = first, second
+        self.size = len(second)
+        self.width = max(len(first), len(second))
+        self.told = [str(i) for i in range(self.width)]
         self.states: list[tuple[int, bytes]] = [(FIRST, b"")]
+        self.first_leads = [True]
         self.number: dict[tuple[int, bytes], int] = {}
         self.begun: dict[int, int] = {}
-        self.moves: dict[tuple[int, int], int] = {}
+        self.moves: dict[int, int] = {}
 
     def _state(self, leader: int, residual: bytes) -> int:
         """Number of a state; 0 without residual."""
@@ -59,6 +64,7 @@ class Transducer:
         found = self.number.setdefault((leader, residual), len(self.states))
         if found == len(self.states):
             self.states.append((leader, residual))
+            self.first_leads.append(leader == FIRST)
         return found
 
     def _begin(self, token: int) -> int:
@@ -77,43 +83,48 @@ class Transducer:
             then = self._state(1 - leader, data[len(residual) :])
         else:
             then = -1
-        self.moves[state, token] = then
+        self.moves[state * self.width + token] = then
         return then
 
-    def align(self, first: list[int], second: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
-        """Groups (ids of each side) and links (pairs of ids) in order; None where the bytes differ."""
+    def align(self, first: list[int], second: list[int]) -> tuple[list[str], list[int]] | None:
+        """Groups (``a1,a2|b1``) and links (first id times the size of the second vocabulary, plus second id) in order.
+
+        None where the bytes differ, or where a token without bytes could stand anywhere.
+        """
         groups, links = [], []
+        moves, begun, leads, told, size, width = self.moves, self.begun, self.first_leads, self.told, self.size, self.width
         state = i = j = 0
-        while i < len(first) or j < len(second) or state:
+        n, m = len(first), len(second)
+        while i < n or j < m or state:
             if not state:
-                if i == len(first):
+                if i == n:
                     return None
-                token = first[i]
+                x = first[i]
                 i += 1
-                state = self.begun.get(token) or self._begin(token)
-                if not state:  # a token without bytes could stand anywhere
+                state = begun.get(x) or self._begin(x)
+                if not state:
                     return None
-                mine, other = [token], []
+                mine, other = told[x], ""
                 continue
-            if self.states[state][0] == FIRST:
-                if j == len(second):
+            if leads[state]:
+                if j == m:
                     return None
-                token = second[j]
+                token = y = second[j]
                 j += 1
-                other.append(token)
+                other = f"{other},{told[y]}" if other else told[y]
             else:
-                if i == len(first):
+                if i == n:
                     return None
-                token = first[i]
+                token = x = first[i]
                 i += 1
-                mine.append(token)
-            links.append((mine[-1], other[-1]))
-            then = self.moves.get((state, token))
+                mine = f"{mine},{told[x]}"
+            links.append(x * size + y)
+            then = moves.get(state * width + token)
             state = self._move(state, token) if then is None else then
             if state < 0:
                 return None
             if not state:
-                groups.append((mine, other))
+                groups.append(f"{mine}|{other}")
         return groups, links
 
 
@@ -126,39 +137,36 @@ class Aligner:
         self.b = sentence_pieces.load(second)
         if not (self.a.byte_decoder and self.b.by_word and self.b.prefix and self.b.escape and not self.b.squeeze and not self.b.map.units):
             raise ValueError("aligned are a byte-level vocabulary and pieces with a space before the text and no other normalising")
-        self.second = len(self.b.names)
         self.transducer = Transducer(self.a.raw, self.b.raw)
-        self.text_a, self.text_b = ([str(i) for i in range(n)] for n in (len(self.a.raw), self.second))
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.groups: list[str] = []
-        self.sizes: list[tuple[int, int, int]] = []
-        self.keys: list[np.ndarray] = []
+        self.sizes, self.keys, self.ends = array("i"), array("q"), array("q", [0])  # three numbers a word; all links, and where each word's end
         self.wrong: set[int] = set()
 
-    def _aligned(self, text: str, a: list[int], b: list[int]) -> tuple[str, tuple[int, int, int], np.ndarray] | None:
-        """Groups as text; numbers of tokens and groups; the links as keys."""
-        if b"".join(map(self.a.raw.__getitem__, a)) != text.encode("utf-8", "replace") or (found := self.transducer.align(a, b)) is None:
-            return None
-        groups, links = found
-        told = ";".join([",".join(map(self.text_a.__getitem__, x)) + "|" + ",".join(map(self.text_b.__getitem__, y)) for x, y in groups])
-        return told, (len(a), len(b), len(groups)), np.array([x * self.second + y for x, y in links], np.int64)
+    def _spelled(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.a.raw.__getitem__, ids))
 
     def learn(self, words: Iterable[str]) -> None:
         """Align words that aren't known, each after a space."""
         new = [w for w in words if w not in self.index]
         self.a.learn_chunks(new)
-        for word, b in zip(new, self.b.merged([sentence_pieces.SPACE + w for w in new])):
-            a = np.frombuffer(self.a.chunks[word], "<u4").tolist()
-            found = self._aligned(" " + word, a, np.frombuffer(b, "<u4").tolist())
-            n = self.index[word] = len(self.groups)
+        first = [memoryview(self.a.chunks[w]).cast("I").tolist() for w in new]
+        lossless = self._spelled([i for ids in first for i in ids]) == "".join([" " + w for w in new]).encode("utf-8", "replace")
+        align, none = self.transducer.align, ([], [])
+        for word, a, b in zip(new, first, self.b.merged([sentence_pieces.SPACE + w for w in new])):
+            b = memoryview(b).cast("I").tolist()
+            found = align(a, b) if lossless or self._spelled(a) == f" {word}".encode("utf-8", "replace") else None
             if found is None:
-                self.wrong.add(n)
-                found = "", (0, 0, 0), np.zeros(0, np.int64)
-            for kept, value in zip((self.groups, self.sizes, self.keys), found):
-                kept.append(value)
+                self.wrong.add(len(self.groups))
+            groups, links = found or none
+            self.index[word] = len(self.groups)
+            self.groups.append(";".join(groups))
+            self.sizes.extend((len(a), len(b), len(groups)))
+            self.keys.extend(links)
+            self.ends.append(len(self.keys))
         self.a.chunks.clear()
         if len(self.a.known) > REMEMBERED:
             self.a.known.clear()
@@ -176,21 +184,22 @@ class Aligner:
         for cache in (self.a.chunks, self.b.words, self.b.others):
             if len(cache) > REMEMBERED:
                 cache.clear()
-        found = self._aligned(" " + text, a, b)
-        return found and (*found[:2], *np.unique(found[2], return_counts=True))
+        if self._spelled(a) != f" {text}".encode("utf-8", "replace") or (found := self.transducer.align(a, b)) is None:
+            return None
+        return ";".join(found[0]), (len(a), len(b), len(found[0])), *np.unique(np.array(found[1], np.int64), return_counts=True)
 
     def _joined(self, words: list[str]) -> tuple[str, tuple[int, int, int], np.ndarray, np.ndarray] | None:
-        at, often = np.unique(np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)), return_counts=True)
+        own = list(map(self.index.__getitem__, words))
+        at, often = np.unique(np.array(own, np.int64), return_counts=True)
         if self.wrong and not self.wrong.isdisjoint(at.tolist()):
             return None
-        sizes = np.array([self.sizes[i] for i in at.tolist()], np.int64)
-        parts = [self.keys[i] for i in at.tolist()]
-        keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        weights = np.repeat(often, [len(p) for p in parts])
-        counts = np.bincount(inverse, weights, len(keys)).astype(np.int64)  # exact: far below 2 ** 53
-        groups = self.groups
-        index = self.index
-        return ";".join([groups[index[w]] for w in words]), tuple((sizes * often[:, None]).sum(axis=0).tolist()), keys, counts
+        sizes = np.frombuffer(self.sizes, np.int32).reshape(-1, 3)[at]
+        ends = np.frombuffer(self.ends, np.int64)
+        begins, lengths = ends[at], ends[at + 1] - ends[at]
+        places = np.repeat(begins - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        keys, inverse = np.unique(np.frombuffer(self.keys, np.int64)[places], return_inverse=True)
+        counts = np.bincount(inverse, np.repeat(often, lengths), len(keys)).astype(np.int64)  # exact: far below 2 ** 53
+        return ";".join(map(self.groups.__getitem__, own)), tuple((sizes * often[:, None]).sum(axis=0).tolist()), keys, counts
 
     def align_batch(self, texts: Iterable[str | None]) -> Iterator[tuple[str, tuple[int, int, int], np.ndarray, np.ndarray]]:
         """For each text: groups as text, numbers of tokens of each side and of groups, keys of its linked pairs, links of each."""
