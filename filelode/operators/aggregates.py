@@ -154,7 +154,7 @@ def size_histogram(files: DataFrame, most_bins: int = 25) -> DataFrame:
     Few values (under 5 different, under 20 in all) are counted one by one instead. ``bin`` counts from 0.
     """
     rows = files.where("size > 0").select("size")
-    n, lo, hi = rows.agg(F.count(F.lit(1)), F.min("size"), F.max("size")).first()
+    n, lo, hi, near = rows.agg(F.count(F.lit(1)), F.min("size"), F.max("size"), F.percentile_approx("size", list(BRACKETS), SKETCH)).first()
     size = F.col("size").cast("double")
     counts = rows.groupBy("size").agg(F.count(F.lit(1)).alias("c"))
     if not n:
@@ -164,7 +164,7 @@ def size_histogram(files: DataFrame, most_bins: int = 25) -> DataFrame:
         return counts.select(rank.alias("bin"), size.alias("lower"), size.alias("upper"), F.col("c").alias("count"))
     bins = 1
     if n > 1:
-        q1, q3 = _quartiles(rows, n, lo, hi)
+        q1, q3 = _quartiles(rows, n, lo, hi, near)
         if q3 > q1:
             bins = -int(-(hi - lo) // (2 * (q3 - q1) / n ** (1 / 3)))
     bins = max(1, min(bins, most_bins))
@@ -185,44 +185,65 @@ def size_histogram(files: DataFrame, most_bins: int = 25) -> DataFrame:
     )
 
 
-def values_at(rows: DataFrame, column: str, positions: list[int], lo: int, hi: int, parts: int = 4096) -> dict[int, int]:
-    """The whole numbers at positions (from 1) of a column in order, all of whose values lie from ``lo`` to ``hi``.
+#: Accuracy of the sketch of sizes: ranks are off by a SKETCH-th of all rows at most. Shares that enclose both quartiles.
+SKETCH = 10_000
+BRACKETS = tuple(share + side * 2 / SKETCH for share in (0.25, 0.75) for side in (-1, 1))
+#: Values that a range is counted by one by one, if it can hold no more rows.
+ONE_BY_ONE = 100_000
 
-    Each pass counts rows in ``parts`` equal ranges of what a position can still be, all positions together: a scan with a
-    partial aggregate, nothing is sorted, and a position is known after five or six passes whatever the number of rows.
+
+def values_at(rows: DataFrame, column: str, brackets: dict[tuple[int, int], list[int]], n: int, lo: int, hi: int, parts: int = 4096) -> dict[int, int]:
+    """The whole numbers at positions (from 1) of a column of ``n`` rows in order, which lie from ``lo`` to ``hi``.
+
+    ``brackets``: ranges (first and last value) that a sketch gives, each with the positions that should lie in it. A pass
+    counts what lies below a range and in its parts: single values if the range can hold ``ONE_BY_ONE`` rows at most, else
+    ``parts`` equal parts of it, so that up to some 10**9 rows one pass is enough and nothing is ever sorted. A position that
+    is not in its range is looked for among all values.
     """
-    open_ranges, found = {(lo, hi): {p: p for p in positions}}, {}
+    # by range: how many rows it may hold, and the positions with their rank above what lies below the range (None: not known)
+    share = 4 * n // SKETCH if n > ONE_BY_ONE else n
+    open_ranges: dict[tuple[int, int], tuple[int, dict[int, int | None]]] = {r: (share, dict.fromkeys(p)) for r, p in brackets.items()}
+    found: dict[int, int] = {}
     while open_ranges:
-        tests = []
-        for k, (a, z) in enumerate(open_ranges):
-            width = (z - a) // parts + 1
-            inside = F.when(F.col(column).between(a, z), F.expr(f"({column} - {a}L) div {width}L"))
+        tests, widths = [], []
+        for k, ((a, z), (held, _)) in enumerate(open_ranges.items()):
+            widths.append(1 if held <= ONE_BY_ONE else (z - a) // parts + 1)
+            inside = F.when(F.col(column).between(a, z), F.expr(f"({column} - {a}L) div {widths[-1]}L")).when(F.col(column) < a, F.lit(-1).cast("long"))
             tests.append(F.struct(F.lit(k).alias("k"), inside.alias("part")))
         tall = rows.select(F.explode(F.array(*tests)).alias("x")).select("x.*").where("part IS NOT NULL")
         counts: dict[int, list] = {}
         for r in sorted(tall.groupBy("k", "part").count().collect()):
             counts.setdefault(r["k"], []).append((r["part"], r["count"]))
-        then: dict[tuple[int, int], dict[int, int]] = {}
-        for k, ((a, z), wanted) in enumerate(open_ranges.items()):
-            width = (z - a) // parts + 1
+        then: dict[tuple[int, int], tuple[int, dict[int, int | None]]] = {}
+        for k, ((a, z), (_, wanted)) in enumerate(open_ranges.items()):
+            below = sum(c for part, c in counts.get(k, ()) if part < 0)
+            within = [x for x in counts.get(k, ()) if x[0] >= 0]
             for position, rank in wanted.items():
-                for part, count in counts[k]:
+                rank = position - below if rank is None else rank
+                if not 0 < rank <= sum(c for _, c in within):
+                    then.setdefault((lo, hi), (n, {}))[1][position] = position
+                    continue
+                for part, count in within:
                     if rank <= count:
                         break
                     rank -= count
-                first = a + part * width
-                if width == 1:
+                first = a + part * widths[k]
+                if widths[k] == 1:
                     found[position] = first
                 else:
-                    then.setdefault((first, min(z, first + width - 1)), {})[position] = rank
+                    then.setdefault((first, min(z, first + widths[k] - 1)), (count, {}))[1][position] = rank
         open_ranges = then
     return found
 
 
-def _quartiles(rows: DataFrame, n: int, lo: int, hi: int) -> tuple[float, float]:
-    """The exclusive first and third quartile of ``size``."""
+def _quartiles(rows: DataFrame, n: int, lo: int, hi: int, near: list[int]) -> tuple[float, float]:
+    """The exclusive first and third quartile of ``size``. ``near``: the sketch's values at ``BRACKETS``."""
     places = [max(1, min(i * (n + 1) // 4, n - 1)) for i in (1, 3)]
-    at = values_at(rows, "size", sorted({p + k for p in places for k in (0, 1)}), lo, hi)
+    ranges = [(near[0], near[1]), (near[2], near[3])] if n > ONE_BY_ONE else [(lo, hi), (lo, hi)]
+    brackets: dict[tuple[int, int], list[int]] = {}
+    for r, p in zip(ranges, places):
+        brackets.setdefault(r, []).extend((p, p + 1))
+    at = values_at(rows, "size", brackets, n, lo, hi)
     shares = [i * (n + 1) - 4 * p for i, p in zip((1, 3), places)]
     q1, q3 = ((at[p] * (4 - d) + at[p + 1] * d) / 4 for p, d in zip(places, shares))
     return q1, q3

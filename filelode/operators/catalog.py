@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filelode.operators.sets import page
+from filelode.sources.shared import checkpointed
 
 PUSH_BATCH = 1000
 
@@ -82,32 +83,46 @@ def cached_scan(files: DataFrame, cache: DataFrame, compute: Callable[[DataFrame
     return found, cache.select("path", "modified", "hash").join(made.select("path"), "path", "left_anti").unionByName(made)
 
 
-def push(records: DataFrame, send: Callable[[list[dict]], None], per_batch: int = PUSH_BATCH) -> DataFrame:
+def push(records: DataFrame, send: Callable[[list[dict]], None], per_batch: int = PUSH_BATCH, batch_by: str | None = None) -> DataFrame:
     """Send records in batches from the tasks that have them: one row per batch with its size and, if it failed, why.
 
-    A batch that fails doesn't stop the others. A task that is run again sends its batches again, so ``send`` must bear that.
+    With ``batch_by`` rows of one value are sent together (at most ``per_batch`` at a time), and each outcome tells the
+    value. A batch that fails doesn't stop the others. A task that is run again sends its batches again, so ``send`` must bear
+    that; ``sources.push`` sends nothing twice.
     """
+    names = [batch_by] * bool(batch_by) + ["records", "error"]
+    kinds = ([records.schema[batch_by].dataType.simpleString()] if batch_by else []) + ["long", "string"]
 
     def sent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[dict] = []
+        outcomes: list[tuple] = []
 
-        def outcome(batch: list[dict]) -> pd.DataFrame:
+        def flush() -> None:
             try:
-                send(batch)
+                send(waiting)
                 error = None
             except Exception as fault:  # reported as data
                 error = str(fault)
-            return pd.DataFrame({"records": [len(batch)], "error": [error]})
+            outcomes.append((*([waiting[0][batch_by]] if batch_by else []), len(waiting), error))
+            waiting.clear()
+
+        def told() -> pd.DataFrame:
+            out = pd.DataFrame(outcomes, columns=names)
+            outcomes.clear()
+            return out
 
         for frame in frames:
-            waiting += frame.to_dict("records")
-            while len(waiting) >= per_batch:
-                yield outcome(waiting[:per_batch])
-                waiting = waiting[per_batch:]
+            for row in frame.to_dict("records"):
+                if waiting and (len(waiting) >= per_batch or (batch_by and row[batch_by] != waiting[0][batch_by])):
+                    flush()
+                waiting.append(row)
+            yield told()
         if waiting:
-            yield outcome(waiting)
+            flush()
+        yield told()
 
-    return records.mapInPandas(sent, "records long, error string")
+    dealt = records.repartitionByRange(batch_by).sortWithinPartitions(*records.columns) if batch_by else records
+    return dealt.mapInPandas(sent, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
 
 
 def lineage(source: dict) -> list[str]:
@@ -115,3 +130,25 @@ def lineage(source: dict) -> list[str]:
     if source.get("type") != "merged":
         return [source["path"]] if source.get("path") else []
     return list(dict.fromkeys(p for part in source.get("sources", []) for p in lineage(part)))
+
+
+def lineages(edges: DataFrame, paths: DataFrame, most_steps: int = 10_000) -> DataFrame:
+    """(``collection``, ``path``) of every place that a collection comes from, however deep its merges are nested.
+
+    ``edges``: (``collection``, ``part``), a row for each part of a merge; ``paths``: (``collection``, ``path``) of those that
+    come from a place. Each step joins the pairs that are new with the edges and keeps what was not there, so parts that
+    merges share are followed once and a cycle ends; a step is a checkpoint. Pairs double their reach in each step.
+    """
+    reach = edges.select("collection", "part").where("collection IS NOT NULL AND part IS NOT NULL").distinct()
+    reach = checkpointed(reach)
+    n = reach.count()
+    for _ in range(most_steps):
+        further = reach.select("collection", F.col("part").alias("__via")).join(reach.select(F.col("collection").alias("__via"), "part"), "__via").select("collection", "part")
+        reach = checkpointed(reach.unionByName(further).distinct())
+        now = reach.count()
+        if now == n:
+            break
+        n = now
+    own = paths.select("collection", F.col("collection").alias("part")).distinct()
+    both = reach.unionByName(own).distinct()
+    return both.join(paths.select(F.col("collection").alias("part"), "path"), "part").select("collection", "path").distinct()

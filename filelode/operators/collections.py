@@ -7,7 +7,7 @@ gives the table as it is afterwards, and what happened to each row that was aske
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelode.functions.scalars import dataset_id, parse_hash
@@ -74,6 +74,67 @@ def collection_page(members: DataFrame, records: DataFrame, collection: object,
     return (some.join(records, "hash") if hydrate else some), about
 
 
+class PageLayout:
+    """Members of collections in an order-statistics layout: sorted by collection and hash over parts, each with its count.
+
+    A page is found by adding up the counts, so page 1,000 reads the one or two parts that it lies in, as page 1 does.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def write(cls, members: DataFrame, path: str, per_part: int = 1_000_000) -> "PageLayout":
+        """``members`` (``collection_id``, ``hash``), repeated ones once, in parts of about ``per_part``.
+
+        A collection of any size is dealt to as many parts as it needs, as parts are ranges of both columns.
+        """
+        spark, key = members.sparkSession, ["collection_id", "hash"]
+        rows = members.select(*key).distinct()
+        parts = max(1, -(-rows.count() // per_part))
+        numbered = rows.repartitionByRange(parts, *key).withColumn("part", F.spark_partition_id())
+        numbered.sortWithinPartitions(*key).write.partitionBy("part").parquet(f"{path}/members")
+        ranges = spark.read.parquet(f"{path}/members").groupBy("collection_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least"), F.max("hash").alias("most"))
+        ranges.repartitionByRange("collection_id", "part").sortWithinPartitions("collection_id", "part").write.parquet(f"{path}/parts")
+        return cls(spark, path)
+
+    def parts(self, collection: object) -> list:
+        """(part, n, least, most) of a collection in order: a row for each of its parts."""
+        found = self.spark.read.parquet(f"{self.path}/parts").where(F.col("collection_id") == collection)
+        return sorted(found.select("part", "n", "least", "most").collect())
+
+    def _members(self, collection: object, parts: list[int]) -> DataFrame:
+        found = self.spark.read.parquet(f"{self.path}/members").where(F.col("part").isin(parts) & (F.col("collection_id") == collection))
+        return found.select("collection_id", "hash")
+
+    def page(self, collection: object, number: int = 1, per_page: int = 100) -> tuple[DataFrame, dict]:
+        """A page of a collection's files by hash, and what the page tells about itself."""
+        parts = self.parts(collection)
+        about = pagination(sum(p.n for p in parts), number, per_page)
+        start, end = (number - 1) * per_page, number * per_page
+        chosen, before, skipped = [], 0, 0
+        for p in parts:
+            if before < end and before + p.n > start:
+                skipped = before if not chosen else skipped
+                chosen.append(p.part)
+            before += p.n
+        return self._members(collection, chosen).orderBy("hash").offset(max(0, start - skipped)).limit(per_page), about
+
+    def after(self, collection: object, hash_: object = None, per_page: int = 100) -> DataFrame:
+        """The files that come after a hash (from the first on if there is none), without counting pages."""
+        chosen, room = [], per_page
+        for p in self.parts(collection):
+            if hash_ is not None and p.most <= hash_:
+                continue
+            if room <= 0:
+                break
+            chosen.append(p.part)
+            room -= p.n if hash_ is None or p.least > hash_ else 0
+        found = self._members(collection, chosen)
+        found = found if hash_ is None else found.where(F.col("hash") > hash_)
+        return found.orderBy("hash").limit(per_page)
+
+
 def populate(members: DataFrame, records: DataFrame, collection: object, use_export: bool = False) -> DataFrame:
     """All records of a collection. One of more than ``MOST_PAGED`` files wants ``use_export``, as it is not read by page."""
     mine = members.where(F.col("collection_id") == collection).select("hash").distinct()
@@ -122,9 +183,21 @@ def datasets_of(datasets: DataFrame, asked: DataFrame, text_col: str = "text") -
     return found.join(datasets.select("dataset_id", "kind", "schema"), "dataset_id", "left")
 
 
-def local_paths(results: DataFrame, files: DataFrame) -> DataFrame:
-    """``results`` (``hash``) with the path of each local file of that content; null where there is none."""
-    return results.join(files.select("hash", "path"), "hash", "left")
+def local_paths(results: DataFrame, files: DataFrame, hot: float = 1 / 1000) -> DataFrame:
+    """``results`` (``hash``) with the path of the local file of that content, the first in scan order (``ordinal``; by path
+    without one); null where there is none. One row a result.
+
+    Files of a hash are one row before they are joined. A hash with more than ``hot`` of all results (there are fewer
+    than 1 / ``hot`` such, by counting) is broadcast, so its results aren't shuffled to one task.
+    """
+    order = [c for c in ("ordinal", "path") if c in files.columns]
+    first = files.groupBy("hash").agg(F.min(F.struct(*order))["path"].alias("path"))
+    counts = results.groupBy("hash").agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    often = F.broadcast(counts.where(F.col("__n") > max(1, int(total * hot))).select("hash"))
+    heavy = F.broadcast(often.join(first, "hash", "left"))
+    rest = results.join(often, "hash", "left_anti")
+    return results.join(heavy, "hash").unionByName(rest.join(first, "hash", "left"))
 
 
 def search_page(files: DataFrame, query: str, *, scope: str = "user", user: object = None, deduplicate: bool = True, match_any: bool = False,

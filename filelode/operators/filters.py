@@ -91,6 +91,11 @@ def name_allows(name: Column, pattern: str) -> Column:
 _TERM = re.compile(r"""(?:(tag|name|extension|size|type):)?("[^"]*"|\S+)""")
 
 
+def terms(query: str) -> list[tuple[str, str]]:
+    """Field and value of each term of a query; a plain word has the field ""."""
+    return [(field, raw.strip('"')) for field, raw in _TERM.findall(query)]
+
+
 def search(files: DataFrame, query: str, match_any: bool = False, deduplicate: bool = False) -> DataFrame:
     """Rows that a query such as ``report extension:pdf size:>1MB`` matches: all terms, or any.
 
@@ -98,8 +103,7 @@ def search(files: DataFrame, query: str, match_any: bool = False, deduplicate: b
     first row of each hash stays.
     """
     tests = []
-    for field, raw in _TERM.findall(query):
-        value = raw.strip('"')
+    for field, value in terms(query):
         if field == "size":
             op, text = re.match(r"(>=|<=|>|<|=)?(.*)", value).groups()  # type: ignore[union-attr]
             size, limit = F.col("size"), parse_size(F.lit(text))

@@ -8,11 +8,13 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filelode.functions.scalars import json_size
+from filelode.operators import chunking
 from filelode.operators.filters import hash_faults
 
 #: Bytes of a record, and where oversized records of a schema are cut: list field, fields of the first part.
@@ -285,35 +287,36 @@ def unwrapped(annotations: DataFrame, key: str = "id") -> DataFrame:
 
 def number_chunks(items: DataFrame, key: str, order: list[str], most: int = MOST_BYTES, first: int = 0, later: int = 0) -> DataFrame:
     """``items`` (``key``, ``order``, ``size``) with the chunk that each falls into when each key's items are put into chunks
-    in order, as ``chunk_numbers`` does, however many a key has: they stream through a task, which holds one running sum.
+    in order, as ``chunk_numbers`` does, and their ``place`` in the key from 1.
 
-    Chunks of a key follow from one another, so its items can't be dealt to several tasks; those of other keys can.
+    Items are sorted over the partitions by key and order (which tells the items of a key apart), so one key is dealt to
+    as many tasks as it needs; ``chunking`` says how the chunks of one partition follow from those of the ones before.
     """
+    entries, ordered = chunking.entries(items, key, order, most, first, later)
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now: object = None
+        room, now, began = most + 1, None, False
         held = chunk = place = 0
         for batch in batches:
             chunks, places = [], []
             for k, size in zip(batch[key], batch["size"]):
-                if place == 0 or k != now:
+                if not began and (entry := entries.get(TaskContext.get().partitionId())):
+                    now, held, chunk, place = k, *entry
+                elif not began or k != now:
                     now, held, chunk, place = k, first, 0, 0
-                    fresh = True
-                else:
-                    fresh = False
-                if held + size + (not fresh) > most:
-                    if fresh or later + size > most:
+                began = True
+                if held + size + 1 > room:
+                    if place == 0 or later + size + 1 > room:
                         raise ValueError(f"an item takes {size} bytes")
-                    chunk, held, fresh = chunk + 1, later, True
-                held += size + (not fresh)
+                    chunk, held = chunk + 1, later
+                held += size + 1
                 place += 1
                 chunks.append(chunk)
                 places.append(place)
             yield batch.assign(place=places, chunk=chunks)
 
-    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([*items.schema, T.StructField("place", T.LongType()), T.StructField("chunk", T.IntegerType())])
-    return items.repartition(parts, key).sortWithinPartitions(key, *order).mapInPandas(numbered, schema)
+    return ordered.mapInPandas(numbered, schema)
 
 
 # Caches

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -66,6 +66,14 @@ def fresh(files: DataFrame, cache: DataFrame) -> DataFrame:
     return found.select(*files.columns, F.col("__hash").alias("cached_hash"), F.when(F.col("__hash").isNotNull(), "cache").otherwise("disk").alias("origin"))
 
 
+def arrivals(rows: DataFrame) -> DataFrame:
+    """``rows`` (``path``, ``batch``, ``modified``), a file's state in each batch that it was seen in, with its ``status``
+    there: new, changed, or same. ``streaming.ingest.freshness`` tells this as the batches arrive."""
+    before = F.lag("modified").over(Window.partitionBy("path").orderBy("batch"))
+    status = F.when(F.col("__before").isNull(), "new").when(F.col("modified") > F.col("__before"), "changed").otherwise("same")
+    return rows.withColumn("__before", before).withColumn("status", status).drop("__before")
+
+
 def page(rows: DataFrame, number: int, per_page: int, order: list[Column]) -> DataFrame:
     """The rows of a page, pages counted from 1; a page out of range raises ValueError."""
     if number < 1 or per_page < 1:

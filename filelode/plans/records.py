@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelode.functions import languages
-from filelode.operators import catalog, validation
+from filelode.operators import catalog, sets, validation
 from filelode.operators import records as R
 from filelode.plans.catalogue import named
 from filelode.plans.views import FILES_SQL, files, read
@@ -343,11 +343,39 @@ def s6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@named("sk8_push", "SELECT count(*) FILTER (o_orderkey % 7 = 0)::INT AS failed, count(*)::BIGINT AS records FROM orders")
+@named("sk8_push", "SELECT o_orderkey // 1000 AS batch, count(*) AS records, CASE WHEN o_orderkey // 1000 % 7 = 0 THEN 'refused ' || count(*) END AS error FROM orders GROUP BY 1")
 def sk8_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     def send(batch: list[dict]) -> None:
-        if any(r["o_orderkey"] % 7 == 0 for r in batch):
-            raise ValueError("refused")
+        if batch[0]["batch"] % 7 == 0:
+            raise ValueError(f"refused {len(batch)}")
 
-    outcome = catalog.push(read(spark, sf_dir, "orders").select("o_orderkey"), send, per_batch=1)  # so that which ones fail is known
-    return outcome.agg(F.count("error").cast("int").alias("failed"), F.sum("records").alias("records"))
+    rows = read(spark, sf_dir, "orders").select(F.expr("o_orderkey div 1000").alias("batch"), "o_orderkey")
+    return catalog.push(rows, send, batch_by="batch")
+
+
+@named(
+    "u3_lineage",
+    """WITH RECURSIVE e AS (SELECT c_custkey AS collection, c_custkey // 2 AS part FROM customer UNION ALL SELECT c_custkey, c_custkey // 3 FROM customer WHERE c_nationkey % 2 = 0),
+    r AS (SELECT collection, part FROM e WHERE part > 0 UNION SELECT r.collection, e.part FROM r JOIN e ON e.collection = r.part WHERE e.part > 0),
+    p AS (SELECT collection, part FROM r UNION SELECT c_custkey, c_custkey FROM customer)
+    SELECT collection, count(DISTINCT c_nationkey) AS places, min(c_nationkey) AS first, sum(DISTINCT c_nationkey)::BIGINT AS total FROM p JOIN customer ON c_custkey = part GROUP BY collection""",
+)
+def u3_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges of merges with shared parts: a collection is merged of those with half its key and, some, a third of it."""
+    rows = read(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    halves, thirds = (r.select(key.alias("collection"), F.expr(f"c_custkey div {n}").alias("part")) for r, n in ((rows, 2), (rows.where("c_nationkey % 2 = 0"), 3)))
+    edges = halves.unionByName(thirds).where("part > 0")
+    found = catalog.lineages(edges, rows.select(key.alias("collection"), F.col("c_nationkey").alias("path")))
+    return found.groupBy("collection").agg(F.count(F.lit(1)).alias("places"), F.min("path").alias("first"), F.sum("path").alias("total"))
+
+
+@named(
+    "c6_arriving_files",
+    """WITH s AS (SELECT l_suppkey AS path, l_linenumber // 3 AS batch, max(l_partkey) AS modified FROM lineitem GROUP BY ALL),
+    p AS (SELECT *, lag(modified) OVER (PARTITION BY path ORDER BY batch) AS before FROM s)
+    SELECT path, batch, CASE WHEN before IS NULL THEN 'new' WHEN modified > before THEN 'changed' ELSE 'same' END AS status FROM p""",
+)
+def c6_arriving_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("path"), F.expr("l_linenumber div 3").alias("batch")).agg(F.max("l_partkey").alias("modified"))
+    return sets.arrivals(rows).select("path", "batch", "status")

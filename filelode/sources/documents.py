@@ -10,6 +10,8 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 FIELDS = (
     "path string, kind string, title string, author string, subject string, keywords array<string>, language string, publisher string, identifier string, "
@@ -139,3 +141,63 @@ def document_metadata(found: DataFrame) -> DataFrame:
 
     some = found.where("lower(path) RLIKE '[.](docx|xlsx|pptx|epub)$'").select("path", "content")
     return some.mapInPandas(run, FIELDS)
+
+
+#: Letters of a paragraph in one row at most, about.
+PIECE = 1 << 16
+
+
+@udtf(returnType="page int, piece int, starts boolean, text string, error string")
+class WordText:
+    """The text of a word-processor document as rows, as it is read: its pieces in order, each with the page that it is on.
+
+    A page ends at an explicit page break. A piece is a paragraph, or a part of one that a page break or its length cuts;
+    ``starts`` says whether a paragraph begins with it. The document is never held as one text. What can't be read ends
+    with a row whose ``error`` says why.
+    """
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open("word/document.xml") as source:
+                yield from self._pieces(source)
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, TypeError) as fault:
+            yield None, None, None, None, str(fault) or "not a document"
+
+    def _pieces(self, source: io.BufferedIOBase) -> Iterator[tuple]:
+        page, piece, starts, begun = 1, 0, False, False
+        held: list[str] = []
+        for event, e in ElementTree.iterparse(source, ("start", "end")):
+            kind = _local(e)
+            broken = event == "end" and kind == "br" and any(k.endswith("}type") and v == "page" for k, v in e.attrib.items())
+            new = event == "start" and kind == "p"
+            if (new or broken) and (held or starts or (broken and not begun)):
+                yield page, piece, starts, "".join(held), None
+                piece, starts, begun = piece + 1, False, True
+                held.clear()
+            if new:
+                starts = True
+            elif broken:
+                page, begun = page + 1, False
+            elif event == "end" and kind in ("t", "tab", "br"):
+                held.append((e.text or "") if kind == "t" else "\t" if kind == "tab" else "\n")
+                if sum(map(len, held[-2:])) > PIECE or len(held) > 1000:
+                    yield page, piece, starts, "".join(held), None
+                    piece, starts, begun = piece + 1, False, True
+                    held.clear()
+            if event == "end" and kind == "p":
+                e.clear()
+        if held or starts:
+            yield page, piece, starts, "".join(held), None
+
+
+def text_pieces(found: DataFrame) -> DataFrame:
+    """``(path, page, piece, starts, text, error)`` of each ``(path, content)`` that is a word-processor document by its name."""
+    some = found.where("lower(path) LIKE '%.docx'").select("path", "content")
+    return some.lateralJoin(WordText(F.col("content").outer())).drop("content")
+
+
+def text_by_page(pieces: DataFrame) -> DataFrame:
+    """``(path, page, text)``: each page's pieces together, a line break where a paragraph starts, white space around it dropped."""
+    line = F.struct("piece", F.concat(F.when(F.col("starts"), "\n").otherwise(""), "text").alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), "")
+    return pieces.where("error IS NULL").groupBy("path", "page").agg(F.regexp_replace(joined, r"^\s+|\s+\z", "").alias("text"))

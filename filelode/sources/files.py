@@ -14,11 +14,13 @@ import stat
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from filelode.sources.hashes import Blake3
+from filelode.sources.shared import checkpointed
 
 CHUNK = 1 << 20
 #: Folders that the driver opens at most to find some to deal out.
@@ -96,6 +98,67 @@ class FileStat(DataSource):
         return _StatReader(self.options["path"], str(self.options.get("recursive", "false")).lower() == "true")
 
 
+#: Entries that a task of a round of ``tree`` lists before it hands back the folders that are left.
+BUDGET = 50_000
+
+
+def tree(spark: SparkSession, folder: str, budget: int = BUDGET) -> DataFrame:
+    """A stat row for everything below a folder, with ``ordinal`` in the order of paths, however the tree is shaped.
+
+    Folders are rows. In each round the open ones are dealt to all tasks; a task lists what is below its own, deepest first,
+    until it has seen ``budget`` entries, and hands back the folders that it didn't get to. So a deep chain takes few rounds,
+    and a wide tree is dealt anew after each. Names alone are listed then; the stat calls, which take the time, are made by all
+    tasks over the sorted paths, so one folder of many files is dealt as well.
+    """
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(paths: list[str], folders: list[bool], is_open: bool) -> pa.RecordBatch:
+            columns = [pa.array(paths, pa.string()), pa.array(folders, pa.bool_()), pa.array([is_open] * len(paths), pa.bool_())]
+            return pa.RecordBatch.from_arrays(columns, ["path", "is_dir", "open"])
+
+        seen, left = 0, []
+        for batch in batches:
+            left += batch.column(0).to_pylist()
+        while left and seen < budget:
+            try:
+                with os.scandir(left.pop()) as entries:
+                    rows = [(e.path, e.is_dir(follow_symlinks=False)) for e in entries]
+            except OSError:
+                continue
+            seen += len(rows)
+            left += [path for path, is_dir in rows if is_dir]
+            for k in range(0, len(rows), 10_000):
+                part = rows[k : k + 10_000]
+                yield told([path for path, _ in part], [is_dir for _, is_dir in part], False)
+        yield told(left, [True] * len(left), True)
+
+    frontier = spark.createDataFrame([(folder.rstrip("/") or "/",)], "path string")
+    found = None
+    while True:
+        more = checkpointed(frontier.mapInArrow(listed, "path string, is_dir boolean, open boolean"))
+        found = more if found is None else found.unionByName(more)
+        frontier = more.where("open").select("path")
+        waiting = frontier.count()
+        if not waiting:
+            break
+        frontier = frontier.repartition(min(parts, waiting))
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, ordinal in zip(batch["path"], batch["ordinal"]):
+                try:
+                    s = os.lstat(path)
+                    rows.append((path, os.path.basename(path), s.st_size, s.st_mtime, s.st_ctime, stat.S_IMODE(s.st_mode), stat.S_ISDIR(s.st_mode), ordinal, s.st_ino, s.st_nlink, s.st_atime))
+                except OSError:  # counted as a file that could not be read
+                    rows.append((path, os.path.basename(path), None, None, None, None, False, ordinal, None, None, None))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in STAT.split(", ")]).astype(object).where(lambda d: d.notna(), None)
+
+    names = found.where("NOT open").select("path").repartitionByRange(parts, "path").sortWithinPartitions("path")
+    return checkpointed(names.withColumn("ordinal", F.monotonically_increasing_id())).mapInPandas(measured, STAT)
+
+
 def listing(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     spark.dataSource.register(FileStat)
     return spark.read.format("file_stat").option("recursive", str(recursive)).load(folder)
