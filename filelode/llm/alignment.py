@@ -36,10 +36,10 @@ from filelode.llm.common import checkpoint, drop_path, ensure_checkpoint_dir, gi
 #: A pair of ids with more than this share of all links is broadcast.
 HEAVY = 200_000
 #: Words, and transitions, remembered by a worker.
-REMEMBERED = 250_000
+REMEMBERED = 450_000
 TRANSITIONS = 1 << 20
 #: Characters whose words are held at a time.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 FIRST, SECOND = 0, 1
 
 
