@@ -271,11 +271,22 @@ def wrapped(records: DataFrame, most: int = MOST_BYTES, reserve: int = TEXT_RESE
     """Rows ``(id, text, skeleton)`` as annotations: ``text`` and ``group``, which is null for a record that fits ``most``
     bytes; others are split, and each part tells its group, its index and how many there are. Group ids follow from the
     record, so a task that runs again gives the same."""
-    whole = F.col("skeleton") + json_size(F.to_json(F.struct(F.col("text").alias("t")))) - 8 <= most
-    small = records.where(whole).select(key, "text", F.lit(None).cast("struct<id: string, index: int, total: int>").alias("group"))
-    parts = split_texts(records.where(~whole).withColumnRenamed(key, "id"), most, reserve)
-    group = F.struct(F.md5(F.concat(F.lit("group "), F.col("id").cast("string"))).alias("id"), F.col("index").cast("int").alias("index"), F.col("total").cast("int").alias("total"))
-    return small.unionByName(parts.select(F.col("id").alias(key), "text", group.alias("group")))
+    size = F.octet_length("text")
+    exact = F.col("skeleton") + json_size(F.to_json(F.struct(F.col("text").alias("t")))) - 8 <= most
+    # a byte is six at most as JSON; only texts between the bounds are written out to be measured, and each is judged once
+    whole = F.when(F.col("skeleton") + 6 * size <= most, True).when(F.col("skeleton") + size > most, False).otherwise(exact)
+
+    @F.pandas_udf("array<string>")
+    def parts(texts: pd.Series, skeletons: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else split_text(t, int(s), most, reserve) or [""] for t, s in zip(texts, skeletons)], dtype=object)
+
+    judged = records.withColumn("__whole", F.coalesce(whole, F.lit(True)))
+    cut = judged.withColumn("__parts", parts(F.when(~F.col("__whole"), F.col("text")), "skeleton"))
+    name = F.md5(F.concat(F.lit("group "), F.col(key).cast("string")))
+    group = lambda i: F.struct(name.alias("id"), i.alias("index"), F.size("__parts").alias("total"))
+    alone = F.array(F.struct(F.col("text"), F.lit(None).cast("struct<id: string, index: int, total: int>").alias("group")))
+    rows = F.when(F.col("__whole"), alone).otherwise(F.transform("__parts", lambda t, i: F.struct(t.alias("text"), group(i).alias("group"))))
+    return cut.select(key, F.inline(rows))
 
 
 def unwrapped(annotations: DataFrame, key: str = "id") -> DataFrame:
@@ -368,10 +379,12 @@ def prune_cache(cache: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def download(records: DataFrame, asked: DataFrame) -> DataFrame:
-    """The record of each asked hash: the private one, else the public one."""
-    private = records.where("private").select("hash", F.col("record").alias("__private")).dropDuplicates(["hash"])
-    public = records.where("NOT private").select("hash", F.col("record").alias("__public")).dropDuplicates(["hash"])
-    found = asked.join(private, "hash", "left").join(public, "hash", "left")
+    """The record of each asked hash: the private one, else the public one; of several the newest (``date_modified``, if the
+    records have it), and of these the last in order."""
+    order = [c for c in ("date_modified", "record") if c in records.columns]
+    newest = lambda test: F.max(F.when(test, F.struct(*order)))["record"]
+    by = records.groupBy("hash").agg(newest(F.col("private")).alias("__private"), newest(~F.col("private")).alias("__public"))
+    found = asked.join(by, "hash", "left")
     scope = F.when(F.col("__private").isNotNull(), "private").when(F.col("__public").isNotNull(), "public")
     return found.select(*asked.columns, F.coalesce("__private", "__public").alias("record"), scope.alias("scope"))
 

@@ -380,6 +380,18 @@ def validate_each(records: DataFrame, named: dict[str, dict], json_col: str = "r
     return records.select("*", F.inline(found)).withColumn("valid", F.size("errors") == 0)
 
 
+def validate_named(records: DataFrame, schema_col: str = "schema", json_col: str = "record") -> DataFrame:
+    """``records`` with ``errors`` and ``valid``, each by the format that it names; of an unknown format that is the error."""
+
+    def judged(v: Column, _: Column) -> Column:
+        out = F.array(F.lit("$ has no known format"))
+        for name, rule in SCHEMAS.items():
+            out = F.when(F.col(schema_col) == name, errors(v, rule)).otherwise(out)
+        return F.when(v.isNull(), F.array(F.lit("$ is not JSON"))).otherwise(out)
+
+    return records.withColumn("errors", _parsed(json_col, False, judged)).withColumn("valid", F.size("errors") == 0)
+
+
 def summary(validated: DataFrame) -> DataFrame:
     """One row: total, valid and invalid records."""
     return validated.agg(F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))

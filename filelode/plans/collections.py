@@ -13,8 +13,10 @@ from filelode.operators import collections as C
 from filelode.operators import pipeline as P
 from filelode.operators import records as R
 from filelode.operators import validation
+from filelode.operators.search_index import SearchIndex
 from filelode.plans.catalogue import named
 from filelode.plans.views import FILES_SQL, files, read
+from filelode.sources.shared import shared_folder
 
 
 def _text(*parts: object) -> Column:
@@ -156,12 +158,10 @@ _OTHERS = {
 
 @named("f15_validate_others", f"SELECT doc_id, s.schema, doc_id % 3 = 0 AS valid FROM labels, (VALUES {', '.join(f'({chr(39)}{k}{chr(39)})' for k in _OTHERS)}) s(schema)")
 def f15_validate_others(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, out = read(spark, sf_dir, "labels"), None
-    for schema, (good, bad, worse) in _OTHERS.items():
-        record = F.when(F.col("doc_id") % 3 == 0, good).when(F.col("doc_id") % 3 == 1, bad).otherwise(worse)
-        judged = validation.validate(rows.select("doc_id", record.alias("record")), schema).select("doc_id", F.lit(schema).alias("schema"), "valid")
-        out = judged if out is None else out.unionByName(judged)
-    return out
+    kind = F.col("doc_id") % 3
+    records = (F.struct(F.lit(schema).alias("schema"), F.when(kind == 0, good).when(kind == 1, bad).otherwise(worse).alias("record")) for schema, (good, bad, worse) in _OTHERS.items())
+    rows = read(spark, sf_dir, "labels").select("doc_id", F.inline(F.array(*records)))
+    return validation.validate_named(rows).select("doc_id", "schema", "valid")
 
 
 _ORDER_SCHEMA = {
@@ -290,12 +290,13 @@ def n6_upgrade_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @named(
     "n7_refreshed",
-    """WITH l AS (SELECT l_orderkey AS hash, max(l_partkey) AS m FROM lineitem WHERE l_quantity > 20 GROUP BY 1)
+    """WITH l AS (SELECT CASE WHEN l_orderkey % 5 = 0 THEN -l_orderkey ELSE l_orderkey END AS hash, max(l_partkey) AS m FROM lineitem GROUP BY 1)
     SELECT o_orderkey AS hash, CASE WHEN m > o_custkey THEN 'c' ELSE 'h' END AS record, CASE WHEN m IS NULL THEN 'gone' WHEN m > o_custkey THEN 'new' ELSE 'same' END AS state FROM orders LEFT JOIN l ON hash = o_orderkey""",
 )
 def n7_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("hash"), F.lit("h").alias("record"), F.col("o_custkey").alias("date_modified"))
-    now = read(spark, sf_dir, "lineitem").where("l_quantity > 20").groupBy(F.col("l_orderkey").alias("hash")).agg(F.max("l_partkey").alias("date_modified"), F.max(F.lit("c")).alias("record"))
+    key = F.col("l_orderkey")
+    now = read(spark, sf_dir, "lineitem").groupBy(F.when(key % 5 == 0, -key).otherwise(key).alias("hash")).agg(F.max("l_partkey").alias("date_modified"), F.max(F.lit("c")).alias("record"))
     return C.refreshed(held, now).select("hash", "record", "state")
 
 
@@ -307,24 +308,24 @@ def n7_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @named(
     "r3_index_records",
-    f"""WITH {FILES_SQL}, c AS (SELECT DISTINCT hash FROM files WHERE ordinal % 3 = 0), n AS (SELECT DISTINCT CASE WHEN ordinal % 10 = 4 THEN substr(hash, 2) ELSE hash END AS hash FROM files WHERE ordinal % 2 = 0)
+    f"""WITH {FILES_SQL}, c AS (SELECT DISTINCT hash FROM files WHERE ordinal % 3 = 0), n AS (SELECT DISTINCT CASE WHEN ordinal % 10 = 4 THEN substr(hash, 2) ELSE hash END AS hash FROM files WHERE ordinal % 3 <> 0)
     SELECT hash, CASE WHEN length(hash) <> 64 THEN 'invalid' WHEN hash IN (SELECT hash FROM c) THEN 'updated' ELSE 'inserted' END AS status FROM n""",
 )
 def r3_index_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = files(spark, sf_dir)
     record = F.to_json(F.struct("name", F.lit("A").alias("author")))
     held = rows.where("ordinal % 3 = 0").select("hash", record.alias("record"), F.lit(False).alias("private")).distinct()
-    new = rows.where("ordinal % 2 = 0").select(F.when(F.col("ordinal") % 10 == 4, F.substring("hash", 2, 99)).otherwise(F.col("hash")).alias("hash"), record.alias("record"))
+    new = rows.where("ordinal % 3 != 0").select(F.when(F.col("ordinal") % 10 == 4, F.substring("hash", 2, 99)).otherwise(F.col("hash")).alias("hash"), record.alias("record"))
     return C.index_records(held, new, False, ["author"])[1]
 
 
 @named(
     "r3_indexed_records",
-    f"""WITH {FILES_SQL}, f AS (SELECT hash, max(name) AS name FROM files WHERE ordinal % 2 = 0 GROUP BY hash)
+    f"""WITH {FILES_SQL}, f AS (SELECT hash, max(name) AS name FROM files GROUP BY hash)
     SELECT hash, '{{"author":null,"name":"' || name || '"}}' AS record FROM f""",
 )
 def r3_indexed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = files(spark, sf_dir).where("ordinal % 2 = 0").select("hash", F.to_json(F.struct("name", F.lit("A").alias("author"))).alias("record"))
+    new = files(spark, sf_dir).select("hash", F.to_json(F.struct("name", F.lit("A").alias("author"))).alias("record"))
     after = C.index_records(new.withColumn("private", F.lit(False)).limit(0), new, False, ["author"])[0]
     fields = F.from_json("record", "author string, name string")
     return after.select("hash", F.to_json(fields, {"ignoreNullFields": "false"}).alias("record"))
@@ -426,6 +427,51 @@ def r12_collection_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("hash", "status", *(F.lit(about[k]).alias(k) for k in ("record_count", "has_next", "has_prev", "start_index")))
 
 
+_PAGES = ((1, 1), (1, 3), (2, 2), (49, 1), (2, 100_000))
+
+
+@named(
+    "r12_layout_pages",
+    f"""WITH m AS (SELECT DISTINCT l_suppkey % 50 AS collection_id, l_orderkey AS hash FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY hash) AS i, count(*) OVER (PARTITION BY collection_id) AS total FROM m),
+    p AS (SELECT * FROM (VALUES {', '.join(map(str, _PAGES))}) v(collection, number))
+    SELECT collection, number, hash, total AS record_count FROM p JOIN n ON collection_id = collection AND i > (number - 1) * 70 AND i <= number * 70
+    UNION ALL SELECT collection_id, -1, hash, total FROM (SELECT *, row_number() OVER (ORDER BY hash) AS k FROM n WHERE collection_id = 3 AND hash > 500) WHERE k <= 70""",
+)
+def r12_layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of some collections, the last one beyond its end, and the files after a hash."""
+    members = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("collection_id"), F.col("l_orderkey").alias("hash"))
+    layout = C.PageLayout.write(members, shared_folder(spark, "pages"), per_part=20_000)
+    found = layout.after(3, 500, 70).select(F.lit(3).alias("collection"), F.lit(-1).alias("number"), "hash", F.lit(sum(p.n for p in layout.parts(3))).alias("record_count"))
+    for collection, number in _PAGES:
+        page, about = layout.page(collection, number, 70)
+        found = found.unionByName(page.select(F.lit(collection).alias("collection"), F.lit(number).alias("number"), "hash", F.lit(about["record_count"]).alias("record_count")))
+    return found
+
+
+_SEARCHES = {
+    "doc_12": "contains(lower(name), 'doc_12')",
+    "c_7 extension:en": "contains(lower(name), 'c_7') AND extension = '.en'",
+    "type:text size:>3kb doc_3": "size > 3000 AND contains(lower(name), 'doc_3')",
+    "tag:src1 oc_1": "source = 'src1' AND contains(lower(name), 'oc_1')",
+    "nothing_like_it": "false",
+    "size:<200": "size < 200",
+}
+
+
+@named(
+    "f14_indexed_search",
+    f"WITH {FILES_SQL} " + " UNION ALL ".join(f"SELECT {_sql(q)} AS query, ordinal, name FROM files WHERE {where}" for q, where in _SEARCHES.items())
+    + " UNION ALL SELECT 'any', ordinal, name FROM files WHERE contains(lower(name), 'doc_99') OR extension = '.fr'",
+)
+def f14_indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.when(F.col("source").isNotNull(), F.array(F.struct(F.col("source").alias("name"))))
+    index = SearchIndex.build(files(spark, sf_dir).withColumn("tags", tags), shared_folder(spark, "index"))
+    found = index.search("doc_99 extension:fr", match_any=True).select(F.lit("any").alias("query"), "ordinal", "name")
+    for query in _SEARCHES:
+        found = found.unionByName(index.search(query).select(F.lit(query).alias("query"), "ordinal", "name"))
+    return found
+
+
 @named("r21_populate", "SELECT o_orderkey AS hash, o_orderstatus AS status FROM orders WHERE o_custkey % 5 = 3")
 def r21_populate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.populate(*_catalog(spark, sf_dir), 3, use_export=True)
@@ -433,11 +479,11 @@ def r21_populate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @named(
     "j2_local_paths",
-    f"WITH {FILES_SQL} SELECT r.ordinal, f.name AS path FROM files r LEFT JOIN (SELECT hash, name FROM files WHERE source IS NOT DISTINCT FROM 'src1') f USING (hash)",
+    f"WITH {FILES_SQL} SELECT r.ordinal, f.path FROM files r LEFT JOIN (SELECT hash, arg_min(name, ordinal) AS path FROM files WHERE source IS NOT DISTINCT FROM 'src1' GROUP BY hash) f USING (hash)",
 )
 def j2_local_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = files(spark, sf_dir)
-    local = rows.where(F.col("source").eqNullSafe("src1")).select("hash", F.col("name").alias("path"))
+    local = rows.where(F.col("source").eqNullSafe("src1")).select("hash", F.col("name").alias("path"), "ordinal")
     return C.local_paths(rows.select("ordinal", "hash"), local).select("ordinal", "path")
 
 

@@ -191,21 +191,21 @@ def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @named(
     "c1_upsert_cache",
-    _CACHE_SQL + """, new AS (SELECT name AS path, 9 AS modified, upper(hash) AS hash, 'n' AS record FROM files WHERE ordinal % 4 = 0)
+    _CACHE_SQL + """, new AS (SELECT name AS path, 9 AS modified, upper(hash) AS hash, 'n' AS record FROM files WHERE ordinal % 4 = 0 OR ordinal % 3 = 0)
     SELECT * FROM new UNION ALL SELECT * FROM cache WHERE path NOT IN (SELECT path FROM new)""",
 )
 def c1_upsert_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = files(spark, sf_dir).where("ordinal % 4 = 0").select(F.col("name").alias("path"), F.lit(9).cast("long").alias("modified"), F.upper("hash").alias("hash"), F.lit("n").alias("record"))
+    new = files(spark, sf_dir).where("ordinal % 4 = 0 OR ordinal % 3 = 0").select(F.col("name").alias("path"), F.lit(9).cast("long").alias("modified"), F.upper("hash").alias("hash"), F.lit("n").alias("record"))
     return R.upsert_cache(_cache(spark, sf_dir), new)
 
 
 @named(
     "c2_upsert_hash",
-    _CACHE_SQL + """, put AS (SELECT name AS path, ordinal % 5 AS m, 'h' AS h FROM files WHERE ordinal % 2 = 0)
+    _CACHE_SQL + """, put AS (SELECT name AS path, ordinal % 5 AS m, 'h' AS h FROM files WHERE ordinal % 2 = 0 OR ordinal % 3 = 0)
     SELECT path, coalesce(m, modified) AS modified, coalesce(h, hash) AS hash, CASE WHEN m IS NULL OR m = modified THEN record END AS record FROM cache FULL JOIN put USING (path)""",
 )
 def c2_upsert_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    put = files(spark, sf_dir).where("ordinal % 2 = 0").select(F.col("name").alias("path"), (F.col("ordinal") % 5).alias("modified"), F.lit("h").alias("hash"))
+    put = files(spark, sf_dir).where("ordinal % 2 = 0 OR ordinal % 3 = 0").select(F.col("name").alias("path"), (F.col("ordinal") % 5).alias("modified"), F.lit("h").alias("hash"))
     return R.upsert_hash(_cache(spark, sf_dir), put)
 
 
@@ -222,12 +222,12 @@ _CATALOG_SQL = "r AS (SELECT o_custkey AS hash, o_orderkey AS record, o_orderkey
 
 @named(
     "r1_download",
-    f"""WITH {_CATALOG_SQL}, p AS (SELECT hash, bool_or(private) AS pr, bool_or(NOT private) AS pu FROM r GROUP BY hash)
-    SELECT c_custkey AS hash, CASE WHEN pr THEN 'private' WHEN pu THEN 'public' END AS scope FROM customer LEFT JOIN p ON hash = c_custkey""",
+    """WITH p AS (SELECT o_custkey AS hash, arg_max(o_orderkey, (o_orderdate, o_orderkey)) FILTER (o_orderkey % 2 = 0) AS pr, arg_max(o_orderkey, (o_orderdate, o_orderkey)) FILTER (o_orderkey % 2 <> 0) AS pu FROM orders GROUP BY 1)
+    SELECT c_custkey AS hash, coalesce(pr, pu) AS record, CASE WHEN pr IS NOT NULL THEN 'private' WHEN pu IS NOT NULL THEN 'public' END AS scope FROM customer LEFT JOIN p ON hash = c_custkey""",
 )
 def r1_download(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("hash"), F.col("o_orderkey").alias("record"), (F.col("o_orderkey") % 2 == 0).alias("private"))
-    return R.download(catalog, read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("hash"))).select("hash", "scope")
+    catalog = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("hash"), F.col("o_orderkey").alias("record"), (F.col("o_orderkey") % 2 == 0).alias("private"), F.col("o_orderdate").alias("date_modified"))
+    return R.download(catalog, read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("hash"))).select("hash", "record", "scope")
 
 
 @named("r2_delete_scope", f"WITH {_CATALOG_SQL} SELECT hash, record FROM r WHERE NOT (private AND hash IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10))")

@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from filelode.sources.hashes import Blake3
@@ -175,25 +176,28 @@ def contents(spark: SparkSession, folder: str, recursive: bool = False) -> DataF
 def hashed(files: DataFrame, functions: tuple[str, ...] = ("sha256", "blake2b")) -> DataFrame:
     """``files`` (``path``) with ``hashes``, a map, from one pass over each file, and ``error`` where it can't be read."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    place = files.columns.index("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             maps, faults = [], []
-            for path in batch["path"]:
+            for path in batch.column(place).to_pylist():
                 try:
                     states = {f: Blake3() if f == "blake3" else hashlib.new(f) for f in functions}
                     with open(path, "rb") as f:
                         while chunk := f.read(CHUNK):
                             for state in states.values():
                                 state.update(chunk)
-                    maps.append({k: s.hexdigest() for k, s in states.items()})
+                    maps.append([(k, s.hexdigest()) for k, s in states.items()])
                     faults.append(None)
                 except OSError as fault:
                     maps.append(None)
                     faults.append(str(fault))
-            yield pd.DataFrame({"path": batch["path"], "hashes": maps, "error": faults})
+            more = [pa.array(maps, pa.map_(pa.string(), pa.string())), pa.array(faults, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "hashes", "error"])
 
-    found = files.select("path").mapInPandas(run, "path string, hashes map<string,string>, error string")
-    return files.join(found, "path")
+    schema = T.StructType([*files.schema, T.StructField("hashes", T.MapType(T.StringType(), T.StringType())), T.StructField("error", T.StringType())])
+    return files.mapInArrow(run, schema)
 
 
 # First bytes of a format and its media type; offsets where they aren't at the start.
