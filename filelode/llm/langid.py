@@ -27,14 +27,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 512
 #: Symbols of a text that are parsed at a time.
 SEGMENT = 1 << 22
 UNDETERMINED = "und"
-#: How sharply the score follows the gap in bits a symbol.
+#: How sharply the score follows the gap in bits between a language and the likeliest one, over the whole text: the more
+#: letters agree, the surer.
 SHARPNESS = 0.1
 
 
@@ -226,21 +227,23 @@ def is_held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Parser:
-    """Machines from labelled rows: of each language about ``limits.rows`` whole rows, by the hash of their ids, up to
-    ``limits.letters``. Which rows are taken depends on ids and lengths alone, so the same table gives the same model.
+    """Machines from labelled rows: of each language about ``limits.rows`` whole rows, by the hash of id and text, up to
+    ``limits.letters``. Rows without id, or that share one, are drawn each by its text; equal rows are one. Which rows are
+    taken depends on ids and texts alone, so the same table gives the same model. The driver gets what is taken: of each
+    language rows of ``limits.letters`` letters and one row.
     """
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")
-    ).where("l IS NOT NULL AND length(t) > 0")
-    counts = rows.groupBy("l").count()
-    places = F.broadcast(counts.select("l", F.least(F.lit(1.0), limits.rows / F.col("count")).alias("share")))  # one row a language
-    drawn = rows.join(places, "l").where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("i", "l", "t")
+        F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")
+    ).where(r"l IS NOT NULL AND t RLIKE '\\p{L}'").withColumn("h", F.xxhash64("i", "t"))
+    # how many different rows a language has, to a few hundredths; so about limits.rows of them pass, whatever is repeated
+    counts = rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("count"))
+    places = F.broadcast(counts.select("l", F.least(F.lit(1.0), 1.1 * limits.rows / F.col("count")).alias("share")))  # one row a language
+    drawn = rows.join(places, "l").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).groupBy("l", "h", "t").agg(F.lit(1)).select("l", "h", "t")
+    before = Window.partitionBy("l").orderBy("h", "t").rowsBetween(Window.unboundedPreceding, -1)
+    taken = drawn.withColumn("before", F.coalesce(F.sum(F.length("t")).over(before), F.lit(0))).where(F.col("before") < limits.letters)
     samples: dict[str, list[str]] = {}
-    taken: dict[str, int] = {}
-    for r in sorted(drawn.toArrow().to_pylist(), key=lambda r: (r["l"], r["i"], r["t"])):
-        if taken.get(r["l"], 0) < limits.letters and any(map(str.isalpha, r["t"])):
-            samples.setdefault(r["l"], []).append(r["t"])
-            taken[r["l"]] = taken.get(r["l"], 0) + len(r["t"])
+    for r in sorted(taken.select("l", "h", "t").toArrow().to_pylist(), key=lambda r: (r["l"], r["h"], r["t"])):
+        samples.setdefault(r["l"], []).append(r["t"])
     return Parser(samples, limits)
 
 

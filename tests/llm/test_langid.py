@@ -82,3 +82,29 @@ def test_whole_operator(spark):
     assert langid.identify(df.limit(0)).collect() == []
     none = langid.identify(df.where("lang IS NULL")).collect()
     assert {r.lang_pred for r in none} == {"und"}
+
+
+def test_rows_without_id_and_repeated_ids_are_learned_from(spark):
+    rng = random.Random(3)
+    words = {"aa": ["the", "with", "and", "house", "street"], "bb": ["der", "und", "strasse", "haus", "mit"]}
+    text = lambda l: " ".join(rng.choices(words[l], k=12))
+    for ids in (lambda n: None, lambda n: 7, lambda n: n % 3):
+        rows = [(ids(n), text(l), l) for n in range(200) for l in words]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        parser = langid.train(df)
+        langs, _ = parser.predict([t for _, t, _ in rows])
+        assert langs == [l for *_, l in rows]
+
+
+def test_the_draw_is_bounded_whatever_is_repeated(spark):
+    rows = [(1, "the house " * 50, "aa")] * 3000 + [(n, f"street {n} " * 30, "aa") for n in range(20)] + [(n, "mit der strasse " * 20, "bb") for n in range(400)]
+    seen = []
+    parser = langid.Parser
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langid.Parser = lambda samples, limits: seen.append(samples) or parser(samples, limits)
+    try:
+        langid.train(df, langid.Limits(rows=30, letters=2000))
+    finally:
+        langid.Parser = parser
+    assert sum(map(len, seen[0]["aa"][:-1])) < 2000 and sum(map(len, seen[0]["bb"][:-1])) < 2000
+    assert len(seen[0]["aa"]) > 1 and len(set(seen[0]["aa"])) == len(seen[0]["aa"])
