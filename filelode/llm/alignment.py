@@ -19,6 +19,7 @@ An empty table gives no rows. Only the id and text columns are read, whatever el
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from array import array
@@ -245,6 +246,7 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = load(first, second)
+        gc.disable()  # no cycles are made; the collector would walk all that is remembered again and again
         for batch in batches:
             held: list[tuple] = []
             links, at = 0, 0
@@ -263,6 +265,7 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
                     held, links = [], 0
             if held:
                 yield out()
+        gc.enable()
         give_back()
 
     narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
