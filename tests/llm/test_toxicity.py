@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -37,3 +38,37 @@ def test_the_same_rows_give_the_same_model(spark):
     a = sorted(map(tuple, toxicity.toxicity(docs, marks).collect()))
     b = sorted(map(tuple, toxicity.toxicity(docs.repartition(7), marks.repartition(3)).collect()))
     assert a == b
+
+
+def test_scores_are_the_sum_over_all_pairs(spark):
+    """Every score against the model written out: bias, weights of the terms, and the product of each pair of them."""
+    rng = random.Random(5)
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(6)]
+    rows = [(i, " ".join(rng.choices(words, k=30) + ["insult"] * (i % 2) + ["group"] * (i // 2 % 2))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 3)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    assert len(model.terms)
+    place = {int(t): i for i, t in enumerate(model.terms)}
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for i, text in rows:
+        terms = set()
+        for word in toxicity.WORD.findall(text.lower()):
+            terms |= {zlib.crc32(x.encode()) % toxicity.BUCKETS for x in [word, *(word[:k] + "^" for k in (5, 6) if len(word) > k)]}
+        at = sorted(place[t] for t in terms if t in place)
+        logit = model.bias + sum(float(model.weights[a]) for a in at)
+        logit += sum(float(sum(x * y for x, y in zip(model.factors[a].astype(float), model.factors[b].astype(float)))) for n, a in enumerate(at) for b in at[:n])
+        want = 1 / (1 + math.exp(-min(max(logit, -30.0), 30.0)))
+        assert abs(got[i].score - want) < 1e-6 and got[i].predicted == int(want >= 0.3)
+
+
+def test_repeated_rows_and_ties_score_alike(spark):
+    rows = [(n % 50, f"same words {'insult' * (n % 2)} again") for n in range(300)] + [(n, "same words  again") for n in range(50, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(n, n % 2) for n in range(50)] * 2, "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, marks).collect()
+    assert len(got) == len(rows)
+    by_text = {}
+    for r in got:
+        by_text.setdefault(r.doc_id % 2 if r.doc_id < 50 else "other", set()).add((r.score, r.predicted))
+    assert all(len(scores) == 1 for scores in by_text.values()) and min(by_text[1])[0] > max(by_text[0])[0]
