@@ -136,19 +136,18 @@ def lineages(edges: DataFrame, paths: DataFrame, most_steps: int = 10_000) -> Da
     """(``collection``, ``path``) of every place that a collection comes from, however deep its merges are nested.
 
     ``edges``: (``collection``, ``part``), a row for each part of a merge; ``paths``: (``collection``, ``path``) of those that
-    come from a place. Each step joins the pairs that are new with the edges and keeps what was not there, so parts that
-    merges share are followed once and a cycle ends; a step is a checkpoint. Pairs double their reach in each step.
+    come from a place. Each step follows the edges of the pairs that the step before found and keeps what was not there, so
+    parts that merges share are followed once and a cycle ends; a step is a checkpoint.
     """
-    reach = edges.select("collection", "part").where("collection IS NOT NULL AND part IS NOT NULL").distinct()
-    reach = checkpointed(reach)
-    n = reach.count()
+    steps = edges.select("collection", "part").where("collection IS NOT NULL AND part IS NOT NULL").distinct()
+    steps = checkpointed(steps)
+    reach = fresh = steps
     for _ in range(most_steps):
-        further = reach.select("collection", F.col("part").alias("__via")).join(reach.select(F.col("collection").alias("__via"), "part"), "__via").select("collection", "part")
-        reach = checkpointed(reach.unionByName(further).distinct())
-        now = reach.count()
-        if now == n:
+        further = fresh.select("collection", F.col("part").alias("__via")).join(steps.select(F.col("collection").alias("__via"), "part"), "__via").select("collection", "part")
+        fresh = checkpointed(further.distinct().join(reach, ["collection", "part"], "left_anti"))
+        if fresh.isEmpty():
             break
-        n = now
+        reach = reach.unionByName(fresh)
     own = paths.select("collection", F.col("collection").alias("part")).distinct()
     both = reach.unionByName(own).distinct()
     return both.join(paths.select(F.col("collection").alias("part"), "path"), "part").select("collection", "path").distinct()
