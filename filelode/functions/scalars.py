@@ -31,10 +31,11 @@ def human_size(size: Column) -> Column:
     """
 
     def one(k: int) -> Column:
-        decimals = 2 if k > 2 else 0
-        num, den = size.cast("long") * F.lit(10**decimals).cast("long"), F.lit(1 << (10 * k)).cast("long")
-        q = F.floor(num / den) if k == 0 else F.shiftrightunsigned(num, 10 * k)
-        r = num - q * den
+        decimals, whole = 2 if k > 2 else 0, size.cast("long")
+        den, scale = F.lit(1 << (10 * k)).cast("long"), F.lit(10**decimals).cast("long")
+        rest = whole.bitwiseAND(den - 1) * scale  # apart from the whole units, as a hundred times a size may be no long
+        q = F.shiftright(whole, 10 * k) * scale + F.shiftright(rest, 10 * k)
+        r = rest.bitwiseAND(den - 1)
         up = (2 * r > den) | ((2 * r == den) & (q % 2 == 1))
         q = q + F.when(up, 1).otherwise(0)
         if not decimals:

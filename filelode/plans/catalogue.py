@@ -54,8 +54,10 @@ SIZE_TEXT_SQL = _HALF_EVEN.format(kib=_rounded(1), mib=_rounded(2), gib=_rounded
     f"SELECT o_orderkey, n AS size, {SIZE_TEXT_SQL} AS text FROM s",
 )
 def s1_human_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = (F.col("o_orderkey") + 3) * (F.col("o_orderkey") + 1) * (1 + (F.col("o_custkey") % 5) * 10000003) % 900719925474099
-    return read(spark, sf_dir, "orders").select("o_orderkey", size.alias("size"), S.human_size(size).alias("text"))
+    key, factor, most = F.col("o_orderkey"), 1 + (F.col("o_custkey") % 5) * 10000003, F.lit(900719925474099)
+    pairs = (key + 3).cast("decimal(19,0)") * (key + 1).cast("decimal(19,0)") % most  # the product of all three is no long beyond some 480,000 orders
+    size = (pairs * factor.cast("decimal(19,0)") % most).cast("long")
+    return read(spark, sf_dir, "orders").select("o_orderkey", size.alias("size")).select("o_orderkey", "size", S.human_size(F.col("size")).alias("text"))
 
 
 _UNITS_SQL = "CASE u " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.SIZE_UNITS.items()) + " END"

@@ -63,3 +63,10 @@ def test_f16_gathers_only_what_is_outside_the_vocabulary(spark, tmp_path):
     assert {r.user_id: r.missing for r in found.collect()} == {1: ["cart", "buy"], 2: []}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(CASE WHEN" in plan or "collect_list(if" in plan
+
+
+def test_s1_takes_the_remainder_of_products_that_are_no_long(spark, tmp_path):
+    rows = [(k, k % 7) for k in (0, 5, 479_999, 900_000, 9_000_000, 3 * 10**9, 10**15)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = {r.o_orderkey: r.size for r in __spark_entry__.queries()["s1_human_size"](spark, str(tmp_path)).collect()}
+    assert found == {k: (k + 3) * (k + 1) * (1 + c % 5 * 10000003) % 900719925474099 for k, c in rows}

@@ -53,3 +53,9 @@ def test_small_functions(spark):
     assert get(S.keywords(F.lit("a; b,,c "))) == ["a", "b", "c"]
     assert get(S.is_media_type(F.lit("é/png"))) and not get(S.is_media_type(F.lit("image")))
     assert get(S.icon(F.lit("text/x"), {"text": "t"}, "f")) == "t" and get(S.icon(F.lit("a/b"), {}, "f")) == "f"
+
+
+def test_human_size_of_sizes_whose_hundredfold_is_no_long(spark):
+    sizes = [2**56 + 2**49, 92_233_720_368_547_759, 2**62 + 3 * 2**42, 2**63 - 1]
+    df = spark.createDataFrame([(n,) for n in sizes], "n long")
+    assert [r[1] for r in df.select("n", S.human_size(F.col("n"))).collect()] == [human(n) for n in sizes]
