@@ -10,6 +10,8 @@ from filelode.functions.scalars import human_size
 
 #: Items of a panel before the rest is summed up.
 PANEL = 14
+#: What bytes of all files are summed in: a long ends at 9.2 * 10**18.
+BYTES = "decimal(38,0)"
 
 
 def _first_of(order: Column, value: str) -> Column:
@@ -42,7 +44,7 @@ def share_by(files: DataFrame, key: str) -> DataFrame:
         F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"),
         F.min("ordinal").alias("__first"),
     )
-    total = groups.agg(F.sum("total_size").alias("__all"))
+    total = groups.agg(F.sum(F.col("total_size").cast(BYTES)).cast("double").alias("__all"))
     share = F.when(F.col("__all") > 0, F.round(F.col("total_size") * 100.0 / F.col("__all"), 6)).otherwise(F.lit(0.0))
     return (
         groups.crossJoin(F.broadcast(total))  # one row

@@ -128,3 +128,8 @@ def test_flat_columns(spark):
     assert R.flat_columns(rows) == [("a/b", "w"), ("a/b", "x")]
     wide = R.flatten(spark.createDataFrame([("h",), ("g",)], "hash string"), rows, [("a/b", "x")])
     assert {r.hash: r.a_b__x for r in wide.collect()} == {"h": "1", "g": None}
+
+
+def test_share_by_sums_beyond_a_long(spark):
+    df = table(spark, [{"size": 2**62, "media_type": m} for m in ("a/a", "b/b", "c/c", "d/d")])
+    assert [(r.media_type, r.total_size, r.percentage) for r in A.share_by(df, "media_type").collect()] == [(m, 2**62, 25.0) for m in ("a/a", "b/b", "c/c", "d/d")]
