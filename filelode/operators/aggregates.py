@@ -7,11 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filelode.functions.scalars import human_size
+from filelode.sources.shared import checkpointed
 
 #: Items of a panel before the rest is summed up.
 PANEL = 14
 #: What bytes of all files are summed in: a long ends at 9.2 * 10**18.
 BYTES = "decimal(38,0)"
+MOST_LONG = 2**63 - 1
 
 
 def _first_of(order: Column, value: str) -> Column:
@@ -131,12 +133,23 @@ def top_and_other(rows: DataFrame, key: str, by: str, order: list[Column], k: in
     return top.unionByName(other)
 
 
+def fitted(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` (few, computed here) with a column of ``BYTES`` as longs; if one of its values is no long, as it is."""
+    rows = checkpointed(rows)
+    most = rows.agg(F.max(F.abs(F.col(column)))).first()[0]
+    return rows if most is not None and most > MOST_LONG else rows.withColumn(column, F.col(column).cast("long"))
+
+
 def panel_by(files: DataFrame, key: str, measure: str, k: int = PANEL) -> DataFrame:
-    """A panel of ``key`` by ``count`` or by ``total_size``; extensions that are null or empty are left out."""
+    """A panel of ``key`` by ``count`` or by ``total_size``; extensions that are null or empty are left out.
+
+    Bytes are longs, or decimals where those of "Other" are no long.
+    """
     some = files.where(F.coalesce(F.col(key), F.lit("")) != "") if key == "extension" else files
-    value = F.count(F.lit(1)) if measure == "count" else F.sum("size")
+    value = F.count(F.lit(1)) if measure == "count" else F.sum(F.col("size").cast(BYTES))
     groups = some.groupBy(key).agg(value.alias(measure), F.min("ordinal").alias("__o"))
-    return top_and_other(groups, key, measure, [F.desc(measure), F.asc("__o")], k)
+    found = top_and_other(groups, key, measure, [F.desc(measure), F.asc("__o")], k)
+    return found if measure == "count" else fitted(found, measure)
 
 
 def largest_files(files: DataFrame, k: int = PANEL) -> DataFrame:

@@ -133,3 +133,14 @@ def test_flat_columns(spark):
 def test_share_by_sums_beyond_a_long(spark):
     df = table(spark, [{"size": 2**62, "media_type": m} for m in ("a/a", "b/b", "c/c", "d/d")])
     assert [(r.media_type, r.total_size, r.percentage) for r in A.share_by(df, "media_type").collect()] == [(m, 2**62, 25.0) for m in ("a/a", "b/b", "c/c", "d/d")]
+
+
+def test_panels_by_bytes_beyond_a_long(spark):
+    df = table(spark, [{"size": 2**62 + 3, "extension": f".{i:02}"} for i in range(20)] + [{"size": 2**62, "extension": ""}])
+    rows = A.panel_by(df, "extension", "total_size").collect()
+    assert [(r.extension, int(r.total_size)) for r in rows] == [(f".{i:02}", 2**62 + 3) for i in range(14)] + [("Other", 6 * (2**62 + 3))]
+    one = table(spark, [{"size": 2**62, "extension": ".x"} for _ in range(3)])
+    assert [(r.extension, int(r.total_size)) for r in A.panel_by(one, "extension", "total_size").collect()] == [(".x", 3 * 2**62)]
+    small = A.panel_by(df.where("ordinal < 2"), "extension", "total_size")
+    assert dict(small.dtypes)["total_size"] == "bigint" and [r.total_size for r in small.collect()] == [2**62 + 3] * 2
+    assert A.panel_by(df.limit(0), "extension", "total_size").collect() == []
