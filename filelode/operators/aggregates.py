@@ -153,9 +153,10 @@ def panel_by(files: DataFrame, key: str, measure: str, k: int = PANEL) -> DataFr
 
 
 def largest_files(files: DataFrame, k: int = PANEL) -> DataFrame:
-    """The panel of largest files; "Other" only if it has bytes, nothing if no file has."""
-    found = top_and_other(files.select("name", "size", "ordinal"), "name", "size", [F.desc("size"), F.asc("ordinal")], k)
-    return found.where((F.col("name") != "Other") | (F.col("size") > 0))
+    """The panel of largest files; "Other" only if it has bytes, nothing if no file has. Bytes as in ``panel_by``."""
+    rows = files.select("name", F.col("size").cast(BYTES).alias("size"), "ordinal")
+    found = top_and_other(rows, "name", "size", [F.desc("size"), F.asc("ordinal")], k)
+    return fitted(found.where((F.col("name") != "Other") | (F.col("size") > 0)), "size")
 
 
 def most_recent(files: DataFrame) -> DataFrame:

@@ -144,3 +144,12 @@ def test_panels_by_bytes_beyond_a_long(spark):
     small = A.panel_by(df.where("ordinal < 2"), "extension", "total_size")
     assert dict(small.dtypes)["total_size"] == "bigint" and [r.total_size for r in small.collect()] == [2**62 + 3] * 2
     assert A.panel_by(df.limit(0), "extension", "total_size").collect() == []
+
+
+def test_largest_files_beyond_a_long(spark):
+    df = table(spark, [{"size": 2**62 + i} for i in range(20)])
+    rows = A.largest_files(df).collect()
+    assert [(r.name, int(r["size"])) for r in rows] == [(f"f{i}", 2**62 + i) for i in range(19, 5, -1)] + [("Other", sum(2**62 + i for i in range(6)))]
+    few = A.largest_files(df.where("ordinal < 15"))
+    assert dict(few.dtypes)["size"] == "bigint" and few.collect()[-1].asDict() == {"name": "Other", "size": 2**62}
+    assert A.largest_files(df.limit(0)).collect() == []
