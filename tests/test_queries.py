@@ -70,3 +70,13 @@ def test_s1_takes_the_remainder_of_products_that_are_no_long(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     found = {r.o_orderkey: r.size for r in __spark_entry__.queries()["s1_human_size"](spark, str(tmp_path)).collect()}
     assert found == {k: (k + 3) * (k + 1) * (1 + c % 5 * 10000003) % 900719925474099 for k, c in rows}
+
+
+def test_a7_media_types_by_size_beyond_a_long(spark, tmp_path):
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    rows = [(8 * k + i, 1, k % 8, 7, 1.0, 1.05e10, "AN"[k // 8], "O", datetime.datetime(2024, 1, 1)) for k in range(16) for i in range(8)]
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = __spark_entry__.queries()["a7_media_types_by_size"](spark, str(tmp_path)).collect()
+    each = 8 * 1_050_000_000_000 * 10**6
+    assert [int(r.total_size) for r in found] == [each] * 14 + [2 * each] and found[-1].media_type == "Other"
+    assert each < 2**63 < 2 * each
