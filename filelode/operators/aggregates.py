@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -280,9 +282,14 @@ def batch_totals(rows: DataFrame, key: str, value: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.sum(value).alias("total"))
 
 
-def tracks_by_type(tracks: DataFrame, key: str = "file", kind: str = "kind") -> DataFrame:
-    """The first General track of each file and how many tracks of other kinds it has."""
-    general = F.min(F.when(F.col(kind) == "General", F.struct("track_no", "format")))
+def tracks_by_type(tracks: DataFrame, key: str = "file", kind: str = "kind", then: Sequence[str] = ()) -> DataFrame:
+    """The first General track of each file and how many tracks of other kinds it has.
+
+    Tracks of one number come in the order of the columns ``then``; without them the least format is first. Tracks without
+    a number or a format are passed over.
+    """
+    some = (F.col(kind) == "General") & F.col("track_no").isNotNull() & F.col("format").isNotNull()
+    general = F.min(F.when(some, F.struct("track_no", *then, "format")))
     return tracks.groupBy(key).agg(
         general["format"].alias("general_format"), F.count_if(F.col(kind) != "General").alias("other_tracks"), F.count_distinct(kind).alias("kinds")
     )

@@ -13,7 +13,7 @@ from filelode.functions.layout import page_tokens
 from filelode.operators import aggregates as A
 from filelode.operators import filters, sets
 from filelode.sources.hashes import blake3_of
-from filelode.plans.views import BIG_FILES_SQL, FILES_SQL, big_files, files, read, tags
+from filelode.plans.views import BIG_FILES_SQL, FILES_SQL, big_files, files, numbered, read, tags
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -501,11 +501,11 @@ def a11_batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a12_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
-    rows = read(spark, sf_dir, "lineitem").select(
+    rows = numbered(read(spark, sf_dir, "lineitem")).select(
         F.col("l_orderkey").alias("file"), (n * F.lit(1_000_000_000).cast("long") + F.col("l_partkey")).alias("track_no"), F.col("l_returnflag").alias("format"),
-        F.when(n <= 2, "General").when(n <= 4, "Video").otherwise("Audio").alias("kind"),
+        F.when(n <= 2, "General").when(n <= 4, "Video").otherwise("Audio").alias("kind"), "row",
     )
-    return A.tracks_by_type(rows)
+    return A.tracks_by_type(rows, then=["row"])
 
 
 @named(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` of a table that was just read, with ``row``: where each stands in it, file by file in the order of their paths."""
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"))
+    paths = placed.select("__path").distinct().select("__path", F.row_number().over(Window.orderBy("__path")).alias("__file"))
+    found = placed.join(F.broadcast(paths), "__path")  # a row for each file
+    return found.withColumn("row", F.col("__file") * F.lit(1 << 40) + F.col("__at")).drop("__path", "__file", "__at")
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file record per document; ``ordinal`` is the scan order."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")

@@ -80,3 +80,17 @@ def test_a7_media_types_by_size_beyond_a_long(spark, tmp_path):
     each = 8 * 1_050_000_000_000 * 10**6
     assert [int(r.total_size) for r in found] == [each] * 14 + [2 * each] and found[-1].media_type == "Other"
     assert each < 2**63 < 2 * each
+
+
+def test_a12_takes_the_first_row_of_equal_track_numbers(spark, tmp_path):
+    rows = [(1, 2, 7, "R"), (1, 2, 7, "A"), (2, 1, 5, "A"), (2, 1, 5, "R"), (3, 1, 3, None), (3, 2, 3, "N"), (4, 2, 9, "N"), (4, 1, 9, "R"), (4, 1, 9, "A"), (5, 6, 1, "A")]
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string"
+    spark.createDataFrame(rows, line).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, n, p, "B") for k, n, p, f in rows if f], line).coalesce(1).write.parquet(f"{tmp_path}/later")
+    later = next((tmp_path / "later").glob("*.parquet"))
+    later.rename(tmp_path / "lineitem.parquet" / f"z{later.name}")  # the table's last file
+    found = {r.file: r.general_format for r in __spark_entry__.queries()["a12_tracks"](spark, str(tmp_path)).collect()}
+    assert found == {1: "R", 2: "A", 3: "N", 4: "R", 5: None}
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert {r[0]: r[1] for r in con.execute(__spark_entry__.oracle_sql()["a12_tracks"]).fetchall()} == found
